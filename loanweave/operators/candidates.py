@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from loanweave import schema
 from loanweave.functions.logic import all_of, is_true
 from loanweave.operators.cleaning import amount_bin, suffix_columns
+from loanweave.session import cut_lineage
 
-# A block that could form more pairs than this is handled by `_join_hot`.
+# A block that could form more pairs than this is subdivided before it is joined.
 MAX_BLOCK_PAIRS = 2_000_000
 
 
@@ -75,7 +76,8 @@ class Blocking:
                   is settled. Only with it may copies be thinned out.
     ``ids``       columns that identify a loan.
     ``seller_copies`` / ``purchaser_copies``  how many alike loans are enough.
-    ``max_block_pairs``  None switches the special handling of crowded blocks off.
+    ``max_block_pairs``  blocks that could form more pairs are crowded; None
+                  means that none is.
     """
 
     keys: tuple[str, ...]
@@ -87,28 +89,53 @@ class Blocking:
     purchaser_copies: int = 3
     max_block_pairs: int | None = MAX_BLOCK_PAIRS
 
+    @property
+    def fixed_keys(self) -> list[str]:
+        return [k for k in self.keys if k not in self.spread]
 
-def block_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
+
+def block_join(
+    sellers: DataFrame, purchasers: DataFrame, blocking: Blocking, crowded: DataFrame | None = None
+) -> DataFrame:
     """All pairs that share the blocking key; other columns get ``_s`` / ``_p``.
 
-    Row-local filters on the result are pushed into the join condition. Blocks
-    that could form too many pairs take a finer join that drops only pairs the
-    declared tolerances would drop, and only copies that uniqueness would drop.
+    Row-local filters on the result are pushed into the join condition. The
+    blocks listed in ``crowded`` (see `crowded_blocks`) take a finer join that
+    leaves out only pairs the declared tolerances would drop, and only copies
+    that uniqueness would drop.
     """
-    if blocking.max_block_pairs is None:
+    if crowded is None:
         return _join(_spread(sellers, blocking), purchasers, blocking.keys)
-    fixed = [k for k in blocking.keys if k not in blocking.spread]
-    crowded = block_sizes(sellers, purchasers, fixed).filter(_pairs() > blocking.max_block_pairs).select(*fixed)
-    calm = [side.join(crowded, fixed, "left_anti") for side in (sellers, purchasers)]
-    hot = [side.join(crowded, fixed, "left_semi") for side in (sellers, purchasers)]
+    keys = blocking.fixed_keys
+    calm = [side.join(crowded, keys, "left_anti") for side in (sellers, purchasers)]
+    hot = [side.join(crowded, keys, "left_semi") for side in (sellers, purchasers)]
     return _join(_spread(calm[0], blocking), calm[1], blocking.keys).unionByName(_join_hot(*hot, blocking))
 
 
+def crowded_blocks(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame | None:
+    """Keys of the blocks that could form too many pairs, or None if there are none.
+
+    Runs a job: one partially aggregated count per block, of which only the few
+    crowded keys are kept. Tables that are larger than the ones joined later
+    are fine, as that can only list more blocks.
+    """
+    if blocking.max_block_pairs is None:
+        return None
+    keys = blocking.fixed_keys
+    sizes = block_sizes(sellers, purchasers, keys)
+    found = cut_lineage(sizes.filter(_pairs() > blocking.max_block_pairs).select(*keys))
+    return None if found.isEmpty() else found
+
+
 def block_sizes(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Loans per block on either side, for blocks that have both."""
-    s = sellers.groupBy(*keys).agg(F.count(F.lit(1)).alias("block_sellers"))
-    p = purchasers.groupBy(*keys).agg(F.count(F.lit(1)).alias("block_purchasers"))
-    return s.join(p, list(keys))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    s = sellers.select(*keys, one.alias("sold"), none.alias("bought"))
+    p = purchasers.select(*keys, none.alias("sold"), one.alias("bought"))
+    counts = s.unionByName(p).groupBy(*keys).agg(
+        F.sum("sold").alias("block_sellers"), F.sum("bought").alias("block_purchasers")
+    )
+    return counts.filter("block_sellers > 0 AND block_purchasers > 0")
 
 
 def _pairs() -> Column:
@@ -141,7 +168,8 @@ def _join_hot(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) ->
         sellers = sellers.withColumn(f"band_{n}", F.explode(seller_bands(F.col(column), tolerance)))
         purchasers = purchasers.withColumn(f"band_{n}", F.explode(purchaser_bands(F.col(column), tolerance)))
         cell_keys.append(f"band_{n}")
-    pieces = F.ceil(F.sqrt(_pairs() / F.lit(blocking.max_block_pairs))).cast("bigint").alias("pieces")
+    limit = blocking.max_block_pairs or MAX_BLOCK_PAIRS
+    pieces = F.ceil(F.sqrt(_pairs() / F.lit(limit))).cast("bigint").alias("pieces")
     grid = block_sizes(sellers, purchasers, cell_keys).select(*cell_keys, pieces)
 
     def piece() -> Column:
@@ -207,13 +235,15 @@ def overlapping_bins() -> dict[str, Column]:
 def band_join_amount(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[str], step: float = 10000) -> DataFrame:
     """Block join that lets the amounts differ by exactly one step."""
     sellers, purchasers = (d.withColumn("LoanAmountMatch", F.col("loan_amount")) for d in (sellers, purchasers))
-    return block_join(sellers, purchasers, Blocking((*keys, "LoanAmountMatch"), spread=amount_steps(step)))
+    blocking = Blocking((*keys, "LoanAmountMatch"), spread=amount_steps(step))
+    return block_join(sellers, purchasers, blocking, crowded_blocks(sellers, purchasers, blocking))
 
 
 def bin_overlap_join(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Block join on ten-wide amount bins that overlap downwards."""
     sellers, purchasers = (d.withColumn("LoanAmountBin", amount_bin(F.col("loan_amount"))) for d in (sellers, purchasers))
-    return block_join(sellers, purchasers, Blocking((*keys, "LoanAmountBin"), spread=overlapping_bins()))
+    blocking = Blocking((*keys, "LoanAmountBin"), spread=overlapping_bins())
+    return block_join(sellers, purchasers, blocking, crowded_blocks(sellers, purchasers, blocking))
 
 
 def affiliate_restrict(pairs: DataFrame, affiliates: DataFrame) -> DataFrame:

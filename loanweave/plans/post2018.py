@@ -195,6 +195,24 @@ def _final_test(spec: Round, pairs: DataFrame) -> Column:
     return all_of(tests)
 
 
+def blocking_of(spec: Round, loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> Blocking:
+    return Blocking(
+        keys=_blocking_keys(spec),
+        spread=candidates.amount_steps(spec.amount_step) if spec.amount_step else {},
+        bands={c: t for c, t in spec.tolerances.items() if c in BAND_COLUMNS and c in loans.columns},
+        profile=_early_columns(spec),
+        purchaser_copies=2 if spec.one_to_one else 3,
+        max_block_pairs=max_block_pairs,
+    )
+
+
+def crowded_blocks(spec: Round, loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> DataFrame | None:
+    """The crowded blocks among all usable loans; later rounds can only have fewer."""
+    return candidates.crowded_blocks(
+        *candidates.split_sides(_in_scope(spec, loans)), blocking_of(spec, loans, max_block_pairs)
+    )
+
+
 def candidate_facts(
     spec: Round,
     loans: DataFrame,
@@ -204,15 +222,8 @@ def candidate_facts(
 ) -> DataFrame:
     """The pairs that pass all single-pair tests, reduced to ids and facts."""
     sellers, purchasers = candidates.split_sides(_in_scope(spec, loans), crosswalk)
-    blocking = Blocking(
-        keys=_blocking_keys(spec),
-        spread=candidates.amount_steps(spec.amount_step) if spec.amount_step else {},
-        bands={c: t for c, t in spec.tolerances.items() if c in BAND_COLUMNS and c in loans.columns},
-        profile=_early_columns(spec),
-        purchaser_copies=2 if spec.one_to_one else 3,
-        max_block_pairs=max_block_pairs,
-    )
-    pairs = candidates.block_join(sellers, purchasers, blocking)
+    crowded = crowded_blocks(spec, loans, max_block_pairs)
+    pairs = candidates.block_join(sellers, purchasers, blocking_of(spec, loans, max_block_pairs), crowded)
     pairs = pairs.filter(all_of(_single_pair_tests(spec, pairs)))
     facts = {
         "HMDAIndex_s": F.col("HMDAIndex_s"),

@@ -18,6 +18,7 @@ def local_session(app: str = "loanweave", cores: str = "*", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
