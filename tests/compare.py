@@ -39,6 +39,10 @@ def differences(spark, engine, name: str, function, sql: str, sf_dir: str) -> st
         return f"columns {sorted(ours.columns)} != {sorted(theirs.columns)}"
     if len(ours) != len(theirs):
         return f"{len(ours)} rows != {len(theirs)} rows"
+    kinds = {c: (str(ours[c].dtype), str(theirs[c].dtype)) for c in ours.columns}
+    unlike = {c: k for c, k in kinds.items() if k[0] != k[1] and "str" not in k[1] and "object" not in k}
+    if unlike:
+        return f"types {unlike}"
     a, b = normal(ours), normal(theirs)
     if a != b:
         at = next(i for i in range(len(a)) if a[i] != b[i])
