@@ -51,6 +51,21 @@ def without_linked(df: DataFrame, crosswalk: DataFrame, id_columns: Sequence[str
     return df.join(sold.unionByName(bought), same, "left_anti")
 
 
+def unlinked(pairs: DataFrame, crosswalk: DataFrame, id_columns: Sequence[str] = (schema.LOAN_ID,)) -> DataFrame:
+    """Pairs of which the crosswalk links neither record.
+
+    For narrow pairs this moves less than `without_linked` does for loans, and
+    leaves them laid out as the contests between rivals need them.
+    """
+    for side in ("p", "s"):
+        used = crosswalk.select([F.col(f"{c}_{side}").alias(f"used_{c}") for c in id_columns])
+        same = all_of(F.col(f"{c}_{side}").eqNullSafe(F.col(f"used_{c}")) for c in id_columns)
+        if len(id_columns) == 1:
+            same = F.col(f"{id_columns[0]}_{side}") == F.col(f"used_{id_columns[0]}")
+        pairs = pairs.join(used, same, "left_anti")
+    return pairs
+
+
 def split_sides(df: DataFrame, crosswalk: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sellers' and purchasers' records, less those already linked."""
     if crosswalk is not None:
@@ -63,6 +78,25 @@ def anti_matched_composite(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return without_linked(df, crosswalk, [c for c in schema.PRE2018_ID_COLUMNS if c in df.columns])
 
 
+@dataclass(frozen=True)
+class LoanLayout:
+    """Loans set apart by whether their block, by ``keys``, is crowded.
+
+    Ideally ``calm`` is bucketed by the keys, so that joins on them and more
+    move none of its rows.
+    """
+
+    calm: DataFrame
+    crowded: DataFrame | None = None
+    keys: tuple[str, ...] = ()
+
+    def serves(self, keys: Sequence[str]) -> bool:
+        return bool(self.keys) and set(self.keys) <= set(keys)
+
+    def everything(self) -> DataFrame:
+        return self.calm if self.crowded is None else self.calm.unionByName(self.crowded)
+
+
 @dataclass(frozen=True)
 class Blocking:
     """How candidate pairs are formed.
@@ -94,22 +128,26 @@ class Blocking:
         return [k for k in self.keys if k not in self.spread]
 
 
-def block_join(
-    sellers: DataFrame, purchasers: DataFrame, blocking: Blocking, crowded: DataFrame | None = None
-) -> DataFrame:
+def block_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
     """All pairs that share the blocking key; other columns get ``_s`` / ``_p``.
 
-    Row-local filters on the result are pushed into the join condition. The
-    blocks listed in ``crowded`` (see `crowded_blocks`) take a finer join that
-    leaves out only pairs the declared tolerances would drop, and only copies
-    that uniqueness would drop.
+    Row-local filters on the result are pushed into the join condition.
     """
+    return _join(_spread(sellers, blocking), purchasers, blocking.keys)
+
+
+def blocked_pairs(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
+    """`block_join`, with `crowded_join` for the blocks that could form too many pairs."""
+    crowded = crowded_blocks(sellers, purchasers, blocking)
     if crowded is None:
-        return _join(_spread(sellers, blocking), purchasers, blocking.keys)
-    keys = blocking.fixed_keys
-    calm = [side.join(crowded, keys, "left_anti") for side in (sellers, purchasers)]
-    hot = [side.join(crowded, keys, "left_semi") for side in (sellers, purchasers)]
-    return _join(_spread(calm[0], blocking), calm[1], blocking.keys).unionByName(_join_hot(*hot, blocking))
+        return block_join(sellers, purchasers, blocking)
+    calm, hot = zip(*(split_crowded(side, crowded) for side in (sellers, purchasers)))
+    return block_join(*calm, blocking).unionByName(crowded_join(*hot, blocking))
+
+
+def split_crowded(loans: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Loans outside and inside the listed blocks."""
+    return loans.join(crowded, crowded.columns, "left_anti"), loans.join(crowded, crowded.columns, "left_semi")
 
 
 def crowded_blocks(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame | None:
@@ -153,9 +191,13 @@ def _spread(sellers: DataFrame, blocking: Blocking) -> DataFrame:
     return sellers
 
 
-def _join_hot(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
-    """Join of crowded blocks: thin copies, subdivide by band, then cut every
-    cell that is still crowded into a grid of pieces."""
+def crowded_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
+    """`block_join` for blocks with very many loans.
+
+    Thins copies, subdivides the block by band, then cuts every cell that is
+    still crowded into a grid of pieces. Leaves out only pairs that the
+    declared tolerances would drop, and only copies that uniqueness would drop.
+    """
     if blocking.profile is not None:
         alike = list(dict.fromkeys([k for k in blocking.keys if k in sellers.columns] + list(blocking.profile)))
         sellers = limit_copies(sellers, [c for c in alike if c in sellers.columns], blocking.ids, blocking.seller_copies)
@@ -236,14 +278,14 @@ def band_join_amount(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[s
     """Block join that lets the amounts differ by exactly one step."""
     sellers, purchasers = (d.withColumn("LoanAmountMatch", F.col("loan_amount")) for d in (sellers, purchasers))
     blocking = Blocking((*keys, "LoanAmountMatch"), spread=amount_steps(step))
-    return block_join(sellers, purchasers, blocking, crowded_blocks(sellers, purchasers, blocking))
+    return blocked_pairs(sellers, purchasers, blocking)
 
 
 def bin_overlap_join(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Block join on ten-wide amount bins that overlap downwards."""
     sellers, purchasers = (d.withColumn("LoanAmountBin", amount_bin(F.col("loan_amount"))) for d in (sellers, purchasers))
     blocking = Blocking((*keys, "LoanAmountBin"), spread=overlapping_bins())
-    return block_join(sellers, purchasers, blocking, crowded_blocks(sellers, purchasers, blocking))
+    return blocked_pairs(sellers, purchasers, blocking)
 
 
 def affiliate_restrict(pairs: DataFrame, affiliates: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from loanweave.functions import fees, people
 from loanweave.functions.logic import all_of, is_true, not_true
 from loanweave.operators import candidates, cleaning
 from loanweave.operators import pair_filters as pf
-from loanweave.operators.candidates import Blocking
+from loanweave.operators.candidates import Blocking, LoanLayout
 from loanweave.operators.uniqueness import keep_uniques
 
 SAME_PURPOSE = ("loan_type", "loan_amount", "census_tract", "occupancy_type", "loan_purpose")
@@ -114,8 +114,12 @@ ROUNDS = {
 }
 
 
+# Shared by the keys of all rounds but the fifth and sixth; `block` is their
+# combination in one text, as Spark does not co-locate joins on doubles.
+LAYOUT_KEYS = ("loan_type", "loan_amount", "occupancy_type", "census_tract")
+BLOCK = "block"
 PREPARED_COLUMNS = (
-    schema.LOAN_ID, "action_taken", "activity_year", "purchaser_type", "lei", "loan_type", "loan_purpose",
+    schema.LOAN_ID, BLOCK, "action_taken", "activity_year", "purchaser_type", "lei", "loan_type", "loan_purpose",
     "i_Purchase", "occupancy_type", "loan_amount", "LoanAmountMatch", "census_tract", "county_code",
     *FULL_TOLERANCES, "applicant_age", "co_applicant_age", *schema.FEE_COLUMNS, "fees_reported",
     "people_needs", "people_offers",
@@ -131,7 +135,9 @@ def prepare(loans: DataFrame) -> DataFrame:
     clean = cleaning.null_sentinels(cleaning.convert_numerics(cleaning.linkage_columns(loans)))
     reported = [*schema.people_columns("race", 5), *schema.people_columns("ethnicity", 5)]
     clean = clean.withColumns({c: F.lit(None).cast("double") for c in reported if c not in clean.columns})
-    derived = {"fees_reported": fees.reported_fee_count(), "LoanAmountMatch": F.col("loan_amount")}
+    codes = [(F.col(c) + F.lit(0.0)).cast("string") for c in LAYOUT_KEYS[:-1]]
+    block = F.concat(*[part for code in codes for part in (code, F.lit("|"))], F.col(LAYOUT_KEYS[-1]))
+    derived = {BLOCK: block, "fees_reported": fees.reported_fee_count(), "LoanAmountMatch": F.col("loan_amount")}
     clean = cleaning.purchase_purpose_flag(clean).withColumns(derived | people.people_bits())
     return clean.select([c for c in dict.fromkeys(PREPARED_COLUMNS) if c in clean.columns])
 
@@ -145,7 +151,10 @@ def _in_scope(spec: Round, loans: DataFrame) -> DataFrame:
 
 
 def _blocking_keys(spec: Round) -> tuple[str, ...]:
-    return (*spec.keys, "activity_year") if spec.same_year else spec.keys
+    keys = spec.keys
+    if set(LAYOUT_KEYS) <= set(keys):
+        keys = (BLOCK, *(k for k in keys if k not in LAYOUT_KEYS))
+    return (*keys, "activity_year") if spec.same_year else keys
 
 
 def _early_columns(spec: Round) -> tuple[str, ...]:
@@ -206,24 +215,34 @@ def blocking_of(spec: Round, loans: DataFrame, max_block_pairs: int | None = can
     )
 
 
-def crowded_blocks(spec: Round, loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> DataFrame | None:
-    """The crowded blocks among all usable loans; later rounds can only have fewer."""
-    return candidates.crowded_blocks(
-        *candidates.split_sides(_in_scope(spec, loans)), blocking_of(spec, loans, max_block_pairs)
-    )
+def separate(spec: Round, loans: LoanLayout, blocking: Blocking) -> tuple[DataFrame, DataFrame | None]:
+    """The round's loans in calm and, if there are any, in crowded blocks."""
+    if loans.serves(blocking.fixed_keys):
+        return _in_scope(spec, loans.calm), None if loans.crowded is None else _in_scope(spec, loans.crowded)
+    usable = _in_scope(spec, loans.everything())
+    crowded = candidates.crowded_blocks(*candidates.split_sides(usable), blocking)
+    return (usable, None) if crowded is None else candidates.split_crowded(usable, crowded)
 
 
 def candidate_facts(
     spec: Round,
-    loans: DataFrame,
+    loans: DataFrame | LoanLayout,
     crosswalk: DataFrame | None = None,
     types: DataFrame | None = None,
     max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS,
 ) -> DataFrame:
-    """The pairs that pass all single-pair tests, reduced to ids and facts."""
-    sellers, purchasers = candidates.split_sides(_in_scope(spec, loans), crosswalk)
-    crowded = crowded_blocks(spec, loans, max_block_pairs)
-    pairs = candidates.block_join(sellers, purchasers, blocking_of(spec, loans, max_block_pairs), crowded)
+    """The pairs that pass all single-pair tests, reduced to ids and facts.
+
+    Loans linked before are excluded pair by pair, so the loans themselves are
+    moved by their blocking key at most. Only where copies are thinned they
+    must go first, lest they stand in for loans that are left.
+    """
+    layout = loans if isinstance(loans, LoanLayout) else LoanLayout(loans)
+    blocking = blocking_of(spec, layout.calm, max_block_pairs)
+    calm, crowded = separate(spec, layout, blocking)
+    pairs = candidates.block_join(*candidates.split_sides(calm), blocking)
+    if crowded is not None:
+        pairs = pairs.unionByName(candidates.crowded_join(*candidates.split_sides(crowded, crosswalk), blocking))
     pairs = pairs.filter(all_of(_single_pair_tests(spec, pairs)))
     facts = {
         "HMDAIndex_s": F.col("HMDAIndex_s"),
@@ -245,7 +264,9 @@ def candidate_facts(
         known_by = ["lei_s", "lei_p", "activity_year_s", "purchaser_type_s"]
     facts |= {c: F.col(c) for c in known_by}
     narrow = pairs.select([expression.alias(name) for name, expression in facts.items()])
-    return candidates.purchaser_type_check(narrow, types).drop(*known_by) if spec.needs_types else narrow
+    if spec.needs_types:
+        narrow = candidates.purchaser_type_check(narrow, types).drop(*known_by)
+    return narrow if crosswalk is None else candidates.unlinked(narrow, crosswalk)
 
 
 def settle(spec: Round, pairs: DataFrame, affiliates: DataFrame | None = None) -> DataFrame:
@@ -274,9 +295,18 @@ def settle(spec: Round, pairs: DataFrame, affiliates: DataFrame | None = None) -
     return links.select("HMDAIndex_s", "HMDAIndex_p")
 
 
+def lay_out(loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> LoanLayout:
+    """Set the loans of crowded blocks apart, by the keys most rounds share."""
+    blocking = Blocking((BLOCK,), max_block_pairs=max_block_pairs)
+    crowded = candidates.crowded_blocks(*candidates.split_sides(loans.dropna(subset=[BLOCK])), blocking)
+    if crowded is None:
+        return LoanLayout(loans, None, (BLOCK,))
+    return LoanLayout(*candidates.split_crowded(loans, crowded), (BLOCK,))
+
+
 def link(
     match_round: int | Round,
-    loans: DataFrame,
+    loans: DataFrame | LoanLayout,
     crosswalk: DataFrame | None = None,
     affiliates: DataFrame | None = None,
     types: DataFrame | None = None,
@@ -284,7 +314,7 @@ def link(
 ) -> DataFrame:
     """New links ``HMDAIndex_s, HMDAIndex_p`` of one round.
 
-    ``loans`` comes from `prepare`, ``crosswalk`` holds the links to exclude,
+    ``loans`` comes from `prepare` (or `lay_out`), ``crosswalk`` holds the links to exclude,
     ``affiliates`` (round 6) and ``types`` (round 7) the known relationships.
     """
     spec = match_round if isinstance(match_round, Round) else ROUNDS[match_round]

@@ -43,9 +43,7 @@ def _ids(loans: DataFrame) -> tuple[str, ...]:
 
 
 def _pairs(loans: DataFrame, blocking: Blocking) -> DataFrame:
-    sellers, purchasers = candidates.split_sides(loans)
-    crowded = candidates.crowded_blocks(sellers, purchasers, blocking)
-    pairs = candidates.block_join(sellers, purchasers, blocking, crowded)
+    pairs = candidates.blocked_pairs(*candidates.split_sides(loans), blocking)
     # A key both records share belongs to both of their ids.
     shared = {f"{c}_{side}": F.col(c) for c in blocking.keys for side in ("s", "p")}
     pairs = pairs.withColumns(shared)

@@ -55,11 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings that wide projections over many coded columns need.
+    """Session settings the plans rely on for speed (not for results).
 
     The JVM does not compile methods above 8000 bytes. Generated stages that
     exceed it would run interpreted; below the limit Spark falls back to one
     small method per group of expressions, which is compiled.
+
+    Loans bucketed by their block are joined on the block and more columns,
+    which they may be without moving if part of the join key suffices.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark

@@ -85,14 +85,29 @@ def filter_from_tuples(filters: Sequence[FilterTuple] | Sequence[Sequence[Filter
     return reduce(or_, [reduce(and_, [tuple_predicate(*f) for f in group]) for group in filters])
 
 
+def read_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Yearly tables stacked by name.
+
+    Years with the same columns are one scan. A column that is text in one
+    year is text in all; a column that a year lacks is null there.
+    """
+    alike: dict[str, list[str]] = {}
+    schemas: dict[str, T.StructType] = {}
+    for path in paths:
+        found = spark.read.parquet(path).schema
+        alike.setdefault(found.json(), []).append(path)
+        schemas[found.json()] = found
+    frames = [spark.read.schema(schemas[key]).parquet(*group) for key, group in alike.items()]
+    return union_years(frames)
+
+
 def union_years(frames: Sequence[DataFrame]) -> DataFrame:
-    """Stack yearly tables by name. A column that is text in one year is text in all."""
     types: dict[str, set[str]] = {}
     for frame in frames:
         for name, dtype in frame.dtypes:
             types.setdefault(name, set()).add(dtype)
     mixed = {name for name, found in types.items() if len(found) > 1 and "string" in found}
-    aligned = [f.withColumns({c: F.col(c).cast("string") for c in f.columns if c in mixed}) for f in frames]
+    aligned = [f.withColumns({c: F.col(c).cast("string") for c in f.columns if c in mixed}) if mixed else f for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
@@ -111,12 +126,10 @@ def load_deliveries(
     )
     if not paths:
         raise FileNotFoundError("no delivery matches; check the manifest and the year bounds")
-    frames = [spark.read.parquet(path) for path in paths]
+    loans = read_years(spark, paths)
     if filters:
-        frames = [f.filter(filter_from_tuples(filters)) for f in frames]
-    if columns is not None:
-        frames = [f.select(*columns) for f in frames]
-    return union_years(frames)
+        loans = loans.filter(filter_from_tuples(filters))
+    return loans if columns is None else loans.select(*columns)
 
 
 def may_be_sold(df: DataFrame) -> DataFrame:
@@ -147,8 +160,7 @@ def load_linkage_input(
     missing = set(range(min_year, max_year + 1)) - {row.Year for row in listed}
     if missing:
         raise FileNotFoundError(f"no parquet delivery for {sorted(missing)}")
-    frames = [linkage_columns(spark.read.parquet(row.path)) for row in listed]
-    return union_years([_linkage_rows(f, added_filters or ()) for f in frames])
+    return _linkage_rows(linkage_columns(read_years(spark, [row.path for row in listed])), added_filters or ())
 
 
 def year_files(spark: SparkSession, data_folder: str, year: int) -> list[str]:
@@ -163,13 +175,13 @@ def load_linkage_input_pre2018(
     spark: SparkSession, data_folder: str, min_year: int = 2007, max_year: int = 2017
 ) -> DataFrame:
     """Originations and purchases of 2007-2017, all columns, first file per year."""
-    frames = []
+    paths = []
     for year in range(min_year, max_year + 1):
         found = year_files(spark, data_folder, year)
         if not found:
             raise FileNotFoundError(f"no parquet file for {year} in {data_folder}")
-        frames.append(_linkage_rows(spark.read.parquet(found[0])))
-    return union_years(frames)
+        paths.append(found[0])
+    return _linkage_rows(read_years(spark, paths))
 
 
 LENDER_SCHEMA = ("lei", "respondent_name_panel", "respondent_name_ts")

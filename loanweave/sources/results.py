@@ -6,6 +6,9 @@ is overwritten while it is read.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +87,18 @@ class ResultFolder:
         pairs.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def prepared_path(self, name: str) -> str:
-        return f"{self.folder}/prepared_loans_{name}{self.suffix}.parquet"
+    def write_plain(self, name: str, loans: DataFrame) -> DataFrame:
+        path = f"{self.folder}/prepared_loans_{name}{self.suffix}.parquet"
+        loans.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def write_bucketed(self, name: str, loans: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+        """An external table in this folder with one file per bucket."""
+        table = f"prepared_loans_{name}_{uuid.uuid4().hex}"
+        spread = loans.repartition(buckets, *keys)
+        writer = spread.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+        writer.option("path", f"{self.folder}/{table}").saveAsTable(table)
+        return self.spark.table(table)
 
 
 def append_crosswalk(links: DataFrame, match_round: int, previous: DataFrame | None = None) -> DataFrame:

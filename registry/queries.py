@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loanweave import schema
 from loanweave.operators import candidates, cleaning, uniqueness
 from loanweave.operators import pair_filters as pf
-from loanweave.operators.candidates import Blocking
+from loanweave.operators.candidates import Blocking, LoanLayout
 from loanweave.plans import post2018, pre2018, relations
 from loanweave.plans.runs import Post2018Run
 from loanweave.reports import counterparties, statistics, unmatched
@@ -77,13 +77,24 @@ class Inputs:
     def prepared(self) -> DataFrame:
         return self.table("prepared", lambda: post2018.prepare(self.linkable))
 
+    @property
+    def layout(self) -> LoanLayout:
+        """The prepared loans as a run lays them out."""
+        def build() -> LoanLayout:
+            found = post2018.lay_out(self.prepared)
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            calm = self.result_folder.write_bucketed("check", found.calm, found.keys, buckets)
+            return LoanLayout(calm, found.crowded, found.keys)
+
+        return self.shared("layout", build)
+
     def links(self, number: int) -> DataFrame:
         spec = post2018.ROUNDS[number]
 
         def build() -> DataFrame:
             return post2018.link(
                 spec,
-                self.prepared,
+                self.layout,
                 self.crosswalk(spec.previous) if spec.previous else None,
                 self.affiliates if spec.needs_affiliates else None,
                 self.types if spec.needs_types else None,
@@ -432,10 +443,9 @@ def block_join(t: Inputs) -> DataFrame:
 def block_join_crowded(t: Inputs) -> DataFrame:
     """The same pairs as `block_join` within a rate tolerance, with every block
     of more than twenty pairs treated as crowded."""
-    sides = candidates.split_sides(t.usable)
     blocking = Blocking(tuple(SAME_PURPOSE), bands={"interest_rate": 0.0625}, max_block_pairs=20)
-    crowded = candidates.crowded_blocks(*sides, blocking)
-    return _ids(pf.numeric_matches(candidates.block_join(*sides, blocking, crowded), {"interest_rate": 0.0625}))
+    pairs = candidates.blocked_pairs(*candidates.split_sides(t.usable), blocking)
+    return _ids(pf.numeric_matches(pairs, {"interest_rate": 0.0625}))
 
 
 @query
@@ -907,7 +917,7 @@ for _number in post2018.ROUNDS:
 @query
 def post_r7_after_r2(t: Inputs) -> DataFrame:
     """Round 7 straight after round 2, where more loans are left for it."""
-    return post2018.link(7, t.prepared, t.crosswalk(2), types=t.types)
+    return post2018.link(7, t.layout, t.crosswalk(2), types=t.types)
 
 
 @query
