@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanweave.session import cut_lineage
+
 METRICS = (
     "originations_total", "purchases_total", "links_total", "originations_matched", "purchases_matched",
     "match_rate_originations", "match_rate_purchases", "links_per_matched_origination",
@@ -86,18 +88,18 @@ def global_match_rates(
 ) -> dict[str, DataFrame | None]:
     """Match rates overall and by year, lender, loan type and purchaser type.
 
-    Groups by year use the origination's year.
+    Groups by year use the origination's year. The links with the attributes
+    to group by are written once; the tables are lazy aggregates of them.
     """
-    links = unique_links(matches, keep_top_purchase)
-    sold = origination_attributes(links, originations)
+    links = cut_lineage(enriched_links(unique_links(matches, keep_top_purchase), originations, purchases))
+    sold = links.withColumnRenamed("orig_activity_year", "activity_year")
 
     def by(*groups: str) -> DataFrame:
         return match_rate_by(groups, originations, sold, "origination_id")
 
     by_type = None
     if "purchaser_type" in purchases.columns:
-        bought = purchase_attributes(links.select("origination_id", "purchase_id"), purchases)
-        by_type = match_rate_by(["purchaser_type"], purchases, bought, "purchase_id").orderBy(F.desc("N_total"))
+        by_type = match_rate_by(["purchaser_type"], purchases, links, "purchase_id").orderBy(F.desc("N_total"))
     return {
         "overall": overall_match_rates(originations, purchases, links),
         "by_year": by("activity_year").orderBy("activity_year"),

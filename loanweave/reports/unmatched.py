@@ -13,6 +13,7 @@ from loanweave.functions.codes import number
 from loanweave.functions.quantiles import exact_median
 from loanweave.operators.cleaning import product_label, rural_flag
 from loanweave.reports.statistics import best_link
+from loanweave.session import cut_lineage
 
 ORIGINATION_COLUMNS = (
     "HMDAIndex", "activity_year", "lei", "loan_type", "product", "loan_amount", "state_code", "census_tract",
@@ -45,14 +46,18 @@ def _ids(matches: DataFrame, side: str) -> DataFrame:
     return matches.select(F.col(f"HMDAIndex_{side}").alias(schema.LOAN_ID))
 
 
-def split_by_match(originations: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Originations with and without a link."""
-    linked = _ids(matches, "s")
-    return originations.join(linked, schema.LOAN_ID, "left_semi"), originations.join(linked, schema.LOAN_ID, "left_anti")
+def marked_originations(
+    originations: DataFrame, matches: DataFrame, numeric_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Originations with ``is_linked``, reduced to the columns of the profile."""
+    linked = _ids(matches, "s").dropDuplicates().withColumn("is_linked", F.lit(True))
+    marked = enriched(originations.join(linked, schema.LOAN_ID, "left"))
+    kept = _present(marked, dict.fromkeys((*ORIGINATION_COLUMNS, *numeric_cols)))
+    return marked.select(*kept, F.coalesce("is_linked", F.lit(False)).alias("is_linked"))
 
 
 def unmatched_originations(originations: DataFrame, matches: DataFrame) -> DataFrame:
-    unmatched = enriched(split_by_match(originations, matches)[1])
+    unmatched = marked_originations(originations, matches).filter("NOT is_linked")
     return unmatched.select(_present(unmatched, ORIGINATION_COLUMNS))
 
 
@@ -156,9 +161,13 @@ def compare_mix(matched: DataFrame, unmatched: DataFrame, column: str) -> DataFr
 def profile_unmatched_originations(
     originations: DataFrame, matches: DataFrame, numeric_cols: Sequence[str] | None = None
 ) -> dict[str, DataFrame | None]:
-    """All tables on originations without a link."""
+    """All tables on originations without a link.
+
+    The marked originations are written once; the tables are lazy aggregates.
+    """
     numeric = list(numeric_cols or ["loan_amount"])
-    matched, unmatched = (enriched(d) for d in split_by_match(originations, unique_matches(matches)))
+    marked = cut_lineage(marked_originations(originations, unique_matches(matches), numeric))
+    matched, unmatched = marked.filter("is_linked"), marked.filter("NOT is_linked")
     return {
         "summary_unmatched_overall": unmatched_overall(unmatched, numeric),
         "summary_unmatched_by_year": unmatched_by_year(unmatched, numeric),

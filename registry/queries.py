@@ -727,7 +727,7 @@ def _scored(t: Inputs) -> DataFrame:
 
 
 def _report(t: Inputs) -> dict[str, DataFrame]:
-    return statistics.global_match_rates(_originations(t), _purchases(t), _scored(t))
+    return t.shared("rates", lambda: statistics.global_match_rates(_originations(t), _purchases(t), _scored(t)))
 
 
 @query
@@ -786,12 +786,12 @@ _NUMERIC = ["loan_amount", "property_value"]
 
 def _profile(t: Inputs) -> dict[str, DataFrame]:
     originations = _originations(t).drop("origination_id")
-    return unmatched.profile_unmatched_originations(originations, t.crosswalk(2), _NUMERIC)
+    return t.shared("profile", lambda: unmatched.profile_unmatched_originations(originations, t.crosswalk(2), _NUMERIC))
 
 
 def _purchase_profile(t: Inputs) -> dict[str, DataFrame]:
     named = _purchases(t).withColumn("respondent_name", F.concat(F.lit("Bank "), "lei"))
-    return unmatched.profile_unmatched_purchases(named, t.crosswalk(2), top_n=7)
+    return t.shared("purchase_profile", lambda: unmatched.profile_unmatched_purchases(named, t.crosswalk(2), top_n=7))
 
 
 @query
