@@ -16,6 +16,9 @@ from loanweave.session import cut_lineage
 
 # A block that could form more pairs than this is subdivided before it is joined.
 MAX_BLOCK_PAIRS = 2_000_000
+# At most this many blocks are listed as crowded, so the list can be broadcast.
+# Blocks beyond are joined as calm ones: slower, but with the same pairs.
+MAX_CROWDED_BLOCKS = 100_000
 
 
 def keep_potential_matches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -146,22 +149,28 @@ def blocked_pairs(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking)
 
 
 def split_crowded(loans: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Loans outside and inside the listed blocks."""
-    return loans.join(crowded, crowded.columns, "left_anti"), loans.join(crowded, crowded.columns, "left_semi")
+    """Loans outside and inside the listed blocks.
+
+    The list has a bounded length and is broadcast, so that the loans of a
+    crowded block are not gathered in one task to find out that they are.
+    """
+    listed = F.broadcast(crowded)
+    return loans.join(listed, crowded.columns, "left_anti"), loans.join(listed, crowded.columns, "left_semi")
 
 
 def crowded_blocks(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame | None:
     """Keys of the blocks that could form too many pairs, or None if there are none.
 
-    Runs a job: one partially aggregated count per block, of which only the few
-    crowded keys are kept. Tables that are larger than the ones joined later
-    are fine, as that can only list more blocks.
+    Runs a job: one partially aggregated count per block, of which only the
+    most crowded keys are kept. Tables that are larger than the ones joined
+    later are fine, as that can only list more blocks.
     """
     if blocking.max_block_pairs is None:
         return None
     keys = blocking.fixed_keys
-    sizes = block_sizes(sellers, purchasers, keys)
-    found = cut_lineage(sizes.filter(_pairs() > blocking.max_block_pairs).select(*keys))
+    sizes = block_sizes(sellers, purchasers, keys).withColumn("block_pairs", _pairs())
+    crowded = sizes.filter(F.col("block_pairs") > blocking.max_block_pairs)
+    found = cut_lineage(crowded.orderBy(F.desc("block_pairs")).limit(MAX_CROWDED_BLOCKS).select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -220,7 +229,11 @@ def crowded_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking)
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
     sellers = sellers.join(grid, cell_keys).withColumn("piece_row", piece()).withColumn("piece_column", every)
     purchasers = purchasers.join(grid, cell_keys).withColumn("piece_column", piece()).withColumn("piece_row", every)
-    pairs = _join(sellers.drop("pieces"), purchasers.drop("pieces"), [*cell_keys, "piece_row", "piece_column"])
+    # Laid out by piece on purpose: being laid out by cell would do for the join,
+    # but would leave all pieces of a cell to one task.
+    piece_keys = [*cell_keys, "piece_row", "piece_column"]
+    sellers, purchasers = (side.drop("pieces").repartition(*piece_keys) for side in (sellers, purchasers))
+    pairs = _join(sellers, purchasers, piece_keys)
     return pairs.drop("piece_row", "piece_column", *(k for k in cell_keys if k.startswith("band_")))
 
 

@@ -254,7 +254,8 @@ def candidate_facts(
     if "income" in spec.contests:
         facts["income_gap"] = F.abs(pf.difference("income"))
     if "fees" in spec.contests:
-        facts |= {"fee_matches": fees.same_fee_count(), "generous": fees.any_fee_agrees()}
+        # Pairs got here by an agreeing fee or for want of fees, never both.
+        facts |= {"fee_matches": fees.same_fee_count(), "generous": ~_no_fees()}
     if spec.tidy:
         facts["fees_fit"] = (fees.same_fee_count() >= 1) | _no_fees()
     if not spec.one_to_one:
