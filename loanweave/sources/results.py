@@ -1,7 +1,8 @@
 """Tables that hand results over between rounds.
 
 Each round writes a path of its own and reads its predecessor's, so nothing
-is overwritten while it is read.
+is overwritten while it is read. The file names are fixed values that readers
+of the result folder rely on.
 """
 
 from __future__ import annotations
