@@ -52,8 +52,8 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -61,11 +61,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word (bytes other than blank, tab, and line ends); words end with their text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word: bytes that ``word`` marks (by default all but white space); words end with their text."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = word[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanweave.llm import mixing, nearest, pages
+from loanweave.llm import decontamination, mixing, near_dedup, nearest, pages, quality, toxicity
 from loanweave.llm.common import table
 
 
@@ -13,6 +13,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -21,7 +37,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_extract_html, op8_top_k)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op8_top_k)}
 
 OP8_SQL = """
 WITH v AS (
