@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanweave.llm import decontamination, mixing, near_dedup, nearest, pages, quality, toxicity
+from loanweave.llm import decontamination, language_model, mixing, near_dedup, nearest, pages, quality, toxicity
 from loanweave.llm.common import table
 
 
@@ -33,11 +33,15 @@ def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op8_top_k)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op7_language_model, op8_top_k)}
 
 OP8_SQL = """
 WITH v AS (
