@@ -18,17 +18,19 @@ from loanweave.llm.common import chunks
 from loanweave.llm.learning import Adam, held_out, labelled_sample, sigmoid
 
 WIDTH, STRIDE, CELL, CHUNK_CELLS, CHUNK_STEP, FILTERS, LAGS = 8, 4, 64, 16, 8, 16, range(2, 33)
+#: Zeros before each text, so that nothing looks into another one.
+LEAD = 40
 PER_CELL = CELL // STRIDE
 
 
 def _laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts from cell boundaries on, zeros between them; and each text's first cell (with the total at the end)."""
-    lengths = np.diff(offsets)
-    cells = np.maximum(1, -(-(lengths + WIDTH) // CELL))
+    """The texts in cells of their own, with zeros around them; and each text's first cell (with the total at the end)."""
+    cells = -(-(np.diff(offsets) + LEAD) // CELL)
     first = np.concatenate([[0], np.cumsum(cells)])
     out = np.zeros(first[-1] * CELL + WIDTH, np.uint8)
     for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        out[first[k] * CELL : first[k] * CELL + b - a] = data[a:b]
+        at = first[k] * CELL + LEAD
+        out[at : at + b - a] = data[a:b]
     return out, first
 
 
@@ -92,8 +94,11 @@ def bad_quality_logits(model: dict[str, np.ndarray], data: np.ndarray, offsets:
     return _pooled(best, first)[1] @ model["out"] + model["shift"][0]
 
 
-def fit(sample: list[tuple[bytes, int]], epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
-    """Learns the filters and their combination from texts labelled 1 (good) or 0 by gradients through both maxima."""
+def fit(sample: list[tuple[bytes, int]], epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 5, least_steps: int = 200) -> dict[str, np.ndarray]:
+    """Learns the filters and their combination from texts labelled 1 (good) or 0 by gradients through both maxima.
+
+    A small sample is gone through more often, until ``least_steps`` steps are made.
+    """
     rng = np.random.default_rng(seed)
     model = {
         "bytes": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), "repeat": np.abs(rng.normal(0, 0.5, FILTERS)).astype(np.float32),
@@ -105,6 +110,7 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 5, batch: int = 32, rate:
         model["out"][:] = 0
         model["shift"][0] = 0 if not kinds else -3 if kinds == {1} else 3
         return model
+    epochs = max(epochs, -(-least_steps * batch // len(sample)))
     adam = Adam(model, rate)
     share = np.mean([1 - y for _, y in sample])
     for epoch in range(epochs):

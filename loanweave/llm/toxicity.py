@@ -193,8 +193,11 @@ def _evidence(sample: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.clip(np.log(v[1] / documents[1]) - np.log(v[0] / documents[0]), -1, 4).astype(np.float32) for v in (seen["words"], seen["chars"]))
 
 
-def fit(sample: list[tuple[bytes, int]], epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 6) -> dict[str, np.ndarray]:
-    """Learns from texts labelled 1 (toxic) or 0. Of a toxic document its worst window so far is taught, of a clean one its worst two and another."""
+def fit(sample: list[tuple[bytes, int]], epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 6, least_steps: int = 300) -> dict[str, np.ndarray]:
+    """Learns from texts labelled 1 (toxic) or 0. Of a toxic document its worst window so far is taught, of a clean one its worst two and another.
+
+    A small sample is gone through more often, until ``least_steps`` steps are made.
+    """
     rng = np.random.default_rng(seed)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     model = {
@@ -208,6 +211,7 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 4, batch: int = 32, rate:
         model["shift"][0] = -3 if kinds != {1} else 3
         return model
     model["words"][:, 0], model["chars"][:, 0] = _evidence(sample)
+    epochs = max(epochs, -(-least_steps * batch // len(sample)))
     adam = Adam(model, rate)
     share = float(np.mean([y for _, y in sample]))
     for epoch in range(epochs):
