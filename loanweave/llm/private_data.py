@@ -166,11 +166,12 @@ def _written(raw: Column, kind: Column, found: Column) -> Column:
     own = F.regexp_replace(raw, r"[^0-9A-Za-z]", "")
     place = lambda i: F.length(marks) - F.length(own) + F.length(F.regexp_replace(F.substring(raw, F.lit(1), i), r"[^0-9A-Za-z]", ""))
     one = lambda i: F.substring(raw, i, F.lit(1))
-    aligned = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(one(i).rlike("[0-9A-Za-z]") & (place(i) > 0), F.substring(marks, place(i), F.lit(1))).otherwise(one(i))), "")
+    mark = lambda i: F.when(one(i).rlike("[A-Z]"), F.upper(F.substring(marks, place(i), F.lit(1)))).otherwise(F.substring(marks, place(i), F.lit(1)))
+    aligned = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(one(i).rlike("[0-9A-Za-z]") & (place(i) > 0), mark(i)).otherwise(one(i))), "")
     whole = F.when(raw == F.upper(raw), F.upper(found[0])).otherwise(found[0])
     name = F.concat(F.split(raw, " ")[0], F.lit(" "), F.array_join(F.transform(found, F.initcap), " "))
-    return F.when(kind == "name", name).when(kind.isin("email", "ip"), whole).otherwise(aligned)
+    longer = kind.isin("email", "ip") & (F.length(found[0]) != F.length(raw))
+    return F.when(kind == "name", name).when(longer, whole).otherwise(aligned)
 
 
 def replacements(docs: DataFrame, key: str) -> DataFrame:
