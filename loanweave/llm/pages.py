@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements by the rules of HTML, and names that page authors give to what isn't the article.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -36,17 +38,18 @@ OTHER_NAMES = set(
     "paywall popup promo promos promoted promotion recommended related replies reply respond share sharebar sharing sidebar sidebars signup skip social sponsor sponsored sponsors "
     "subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+WRAPPERS = {"article", "main", "section", "div", "body", "html", "td", "blockquote", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 
 
 class Element:
-    """An open or closed element of the page: its name, its label in paths, its parent's number, and whether it is left out."""
+    """An open or closed element of the page: its name, its path of tags from the root (as a number), and whether it is left out."""
 
-    __slots__ = ("label", "left_out", "number", "parent", "tag")
+    __slots__ = ("left_out", "number", "parent", "path", "tag")
 
-    def __init__(self, number: int, tag: str, label: str, parent: Element | None, left_out: bool):
-        self.number, self.tag, self.label, self.parent, self.left_out = number, tag, label, parent, left_out
+    def __init__(self, number: int, tag: str, path: int, parent: Element | None, left_out: bool):
+        self.number, self.tag, self.path, self.parent, self.left_out = number, tag, path, parent, left_out
 
 
 def _left_out(tag: str, given: dict[str, str], parent: Element | None) -> bool:
@@ -70,6 +73,8 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     found: list[tuple[Element, str, int]] = []
     held: list[str] = []
     linked, made, at, owner = 0, 0, 0, None
+    times: Counter[str] = Counter()  # open elements by name
+    paths: dict[tuple[int, str], int] = {}
 
     def flush() -> None:
         nonlocal linked, owner
@@ -85,13 +90,14 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             held.append(raw)
             if owner is None and raw.strip():
                 owner = open_at[-1] if open_at else root
-            if any(e.tag == "a" for e in open_at):
+            if times["a"]:
                 linked += len(raw.strip())
 
     def close(until: int) -> None:
+        times.subtract(e.tag for e in open_at[until:])
         del open_at[until:]
 
-    root = Element(0, "", "", None, False)
+    root = Element(0, "", 0, None, False)
     while (token := TOKEN.search(page, at)) is not None:
         say(page[at : token.start()])
         at = token.end()
@@ -105,16 +111,16 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         elif tag == "br":
             held.append(" ")
         if token[1]:
-            for k in range(len(open_at) - 1, -1, -1):
+            for k in [] if not times[tag] else range(len(open_at) - 1, -1, -1):
                 if open_at[k].tag == tag:
                     close(k)
                     break
                 if tag not in BLOCKS and open_at[k].tag in BLOCKS:
                     break
             continue
-        if tag in CLOSES_P and (k := next((k for k in range(len(open_at) - 1, -1, -1) if open_at[k].tag in SCOPES or open_at[k].tag == "p"), None)) is not None and open_at[k].tag == "p":
+        if tag in CLOSES_P and times["p"] and (k := next((k for k in range(len(open_at) - 1, -1, -1) if open_at[k].tag in SCOPES or open_at[k].tag == "p"), None)) is not None and open_at[k].tag == "p":
             close(k)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(times[x] for x in SIBLINGS[tag]):
             for k in range(len(open_at) - 1, -1, -1):
                 if open_at[k].tag in SIBLINGS[tag]:
                     close(k)
@@ -127,9 +133,10 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         parent = open_at[-1] if open_at else root
         made += 1
         out = parent.left_out or _left_out(tag, given, parent)
-        if parent.left_out and parent.tag == "header" and tag in HEADINGS and any(e.tag in ("article", "main") for e in open_at):
+        if parent.left_out and parent.tag == "header" and tag in HEADINGS and (times["article"] or times["main"]):
             out = False  # an article's own header holds its title
-        element = Element(made, tag, re.sub(r"\d+", "", f"{tag}.{given.get('class', '')}"), parent, out)
+        label = re.sub(r"\d+", "", f"{tag}.{given.get('class', '')}")
+        element = Element(made, tag, paths.setdefault((parent.path, label), len(paths) + 1), parent, out)
         if token[0].endswith("/>") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -137,19 +144,12 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             at = end.end() if end else len(page)
             continue
         open_at.append(element)
+        times[tag] += 1
     say(page[at:])
     flush()
     return found
 
 
-def _path(element: Element) -> tuple[str, ...]:
-    labels = []
-    while element is not None:
-        labels.append(element.label)
-        element = element.parent
-    return tuple(reversed(labels))
-
-
 def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
     kernel = np.exp(-0.5 * (np.arange(-2 * width, 2 * width + 1) / width) ** 2)
     return np.convolve(np.pad(values, 2 * width, mode="edge"), kernel / kernel.sum(), mode="valid")
@@ -157,8 +157,8 @@ def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
 
 def content_blocks(blocks: list[tuple[Element, str, int]]) -> list[bool]:
     """Which blocks stand on content paths: path ratios of length and punctuation, smoothed, fused and held against a threshold."""
-    paths: dict[tuple[str, ...], int] = {}
-    of = np.array([paths.setdefault(_path(e), len(paths)) for e, _, _ in blocks])
+    paths: dict[int, int] = {}
+    of = np.array([paths.setdefault(e.path, len(paths)) for e, _, _ in blocks])
     times = np.bincount(of, minlength=len(paths))
     length = np.bincount(of, [len(t) - a for _, t, a in blocks], len(paths)) / times
     marks = np.bincount(of, [len(PUNCTUATION.findall(t)) if a < len(t) / 2 else 0 for _, t, a in blocks], len(paths)) / times
@@ -173,30 +173,31 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     content = content_blocks(blocks)
-    weight: dict[int, float] = {}
-    elements: dict[int, Element] = {}
-    total = 0.0
+    # Characters on content paths that each element holds, from the youngest element up: a parent is always older.
+    held: dict[int, list] = {}
     for (element, text, linked), good in zip(blocks, content, strict=True):
-        if good:
-            total += len(text) - linked
-            while element is not None:
-                weight[element.number] = weight.get(element.number, 0.0) + len(text) - linked
-                elements[element.number] = element
-                element = element.parent
+        held.setdefault(element.number, [element, 0])[1] += (len(text) - linked) * good
+    waiting = [-n for n in held]
+    heapify(waiting)
+    while waiting:
+        element, amount = held[-heappop(waiting)]
+        if element.parent is not None:
+            if element.parent.number not in held:
+                held[element.parent.number] = [element.parent, 0]
+                heappush(waiting, -element.parent.number)
+            held[element.parent.number][1] += amount
+    total = held[0][1]
     if not total:
         return ""
-    named = [e for e in elements.values() if e.tag in ("article", "main") and weight[e.number] >= 0.5 * total]
-    holds = [e for e in elements.values() if weight[e.number] >= 0.9 * total and (e.tag in BLOCKS - CLOSES_P or e.tag in ("div", "section", "article", "main", "blockquote", "")) ]
-    article = max(named, key=lambda e: e.number) if named else max(holds, key=lambda e: e.number)
-
-    def inside(element: Element | None) -> bool:
-        while element is not None:
-            if element is article:
-                return True
-            element = element.parent
-        return False
-
-    return "\n".join(t for (e, t, a), good in zip(blocks, content, strict=True) if inside(e) and (good or named or a < 0.8 * len(t)))
+    named = [e for e, n in held.values() if e.tag in ("article", "main") and n >= 0.5 * total]
+    wraps = [e for e, n in held.values() if n >= 0.9 * total and (e.tag in WRAPPERS or not e.number)]
+    article = max(named or wraps, key=lambda e: e.number)
+    inside = {article.number: True, 0: article.number == 0}
+    for number in sorted(held):  # parents first
+        element = held[number][0]
+        if number not in inside:
+            inside[number] = inside[element.parent.number]
+    return "\n".join(t for (e, t, a), good in zip(blocks, content, strict=True) if inside[e.number] and (good or named or a < 0.8 * len(t)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
