@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanweave import schema
@@ -14,11 +14,9 @@ from loanweave.functions.logic import all_of, is_true
 from loanweave.operators.cleaning import amount_bin, suffix_columns
 from loanweave.session import cut_lineage
 
-# A block that could form more pairs than this is subdivided before it is joined.
+# A block that could form more pairs than this is laid out in pieces before it is
+# joined. That decides which tasks form its pairs, never which pairs there are.
 MAX_BLOCK_PAIRS = 2_000_000
-# At most this many blocks are listed as crowded, so the list can be broadcast.
-# Blocks beyond are joined as calm ones: slower, but with the same pairs.
-MAX_CROWDED_BLOCKS = 100_000
 
 
 def keep_potential_matches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,10 +107,7 @@ class Blocking:
                   (an array column replaces the key on the seller's side).
     ``bands``     numeric tolerances that later filters enforce; a crowded
                   block is subdivided by them.
-    ``profile``   every other column that later steps look at before uniqueness
-                  is settled. Only with it may copies be thinned out.
     ``ids``       columns that identify a loan.
-    ``seller_copies`` / ``purchaser_copies``  how many alike loans are enough.
     ``max_block_pairs``  blocks that could form more pairs are crowded; None
                   means that none is.
     """
@@ -120,10 +115,7 @@ class Blocking:
     keys: tuple[str, ...]
     spread: Mapping[str, Column] = field(default_factory=dict)
     bands: Mapping[str, float] = field(default_factory=dict)
-    profile: tuple[str, ...] | None = None
     ids: tuple[str, ...] = (schema.LOAN_ID,)
-    seller_copies: int = 2
-    purchaser_copies: int = 3
     max_block_pairs: int | None = MAX_BLOCK_PAIRS
 
     @property
@@ -151,18 +143,17 @@ def blocked_pairs(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking)
 def split_crowded(loans: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Loans outside and inside the listed blocks.
 
-    The list has a bounded length and is broadcast, so that the loans of a
-    crowded block are not gathered in one task to find out that they are.
+    Spark broadcasts the list if its measured size allows it. If not, both joins
+    are of the kind whose larger side adaptive execution splits.
     """
-    listed = F.broadcast(crowded)
-    return loans.join(listed, crowded.columns, "left_anti"), loans.join(listed, crowded.columns, "left_semi")
+    return loans.join(crowded, crowded.columns, "left_anti"), loans.join(crowded, crowded.columns, "left_semi")
 
 
 def crowded_blocks(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame | None:
     """Keys of the blocks that could form too many pairs, or None if there are none.
 
-    Runs a job: one partially aggregated count per block, of which only the
-    most crowded keys are kept. Tables that are larger than the ones joined
+    Runs a job: one partially aggregated count per block, of which the crowded
+    keys are kept, all of them. Tables that are larger than the ones joined
     later are fine, as that can only list more blocks.
     """
     if blocking.max_block_pairs is None:
@@ -170,7 +161,7 @@ def crowded_blocks(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking
     keys = blocking.fixed_keys
     sizes = block_sizes(sellers, purchasers, keys).withColumn("block_pairs", _pairs())
     crowded = sizes.filter(F.col("block_pairs") > blocking.max_block_pairs)
-    found = cut_lineage(crowded.orderBy(F.desc("block_pairs")).limit(MAX_CROWDED_BLOCKS).select(*keys))
+    found = cut_lineage(crowded.select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -185,6 +176,25 @@ def block_sizes(sellers: DataFrame, purchasers: DataFrame, keys: Sequence[str])
     return counts.filter("block_sellers > 0 AND block_purchasers > 0")
 
 
+def lonely_blocks(sellers: DataFrame, purchasers: DataFrame, key: str, more_than: int) -> DataFrame:
+    """Blocks of one side only with more than so many loans; no pair comes from them."""
+    counts = [side.groupBy(key).agg(F.count(F.lit(1)).alias("loans")) for side in (sellers, purchasers)]
+    alone = [a.join(b, key, "left_anti").filter(F.col("loans") > more_than).select(key) for a, b in (counts, counts[::-1])]
+    return alone[0].unionByName(alone[1])
+
+
+def spread_block(loans: DataFrame, key: str, lonely: DataFrame) -> DataFrame:
+    """Loans that cannot meet another by their block get a block of their own, so no bucket gathers them.
+
+    These are the loans without a block and those of the listed blocks.
+    """
+    listed = lonely.select(F.col(key).alias("lonely_block"))
+    found = loans.join(listed, F.col(key) == F.col("lonely_block"), "left")
+    own = F.concat(F.lit("alone|"), F.col(schema.LOAN_ID))
+    apart = F.col(key).isNull() | F.col("lonely_block").isNotNull()
+    return found.withColumn(key, F.when(apart, own).otherwise(F.col(key))).drop("lonely_block")
+
+
 def _pairs() -> Column:
     return F.col("block_sellers").cast("double") * F.col("block_purchasers")
 
@@ -203,16 +213,10 @@ def _spread(sellers: DataFrame, blocking: Blocking) -> DataFrame:
 def crowded_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking) -> DataFrame:
     """`block_join` for blocks with very many loans.
 
-    Thins copies, subdivides the block by band, then cuts every cell that is
-    still crowded into a grid of pieces. Leaves out only pairs that the
-    declared tolerances would drop, and only copies that uniqueness would drop.
+    Subdivides the block by band, then cuts every cell that is still crowded
+    into a grid of pieces. Leaves out only pairs that the declared tolerances
+    would drop, and no loan.
     """
-    if blocking.profile is not None:
-        alike = list(dict.fromkeys([k for k in blocking.keys if k in sellers.columns] + list(blocking.profile)))
-        sellers = limit_copies(sellers, [c for c in alike if c in sellers.columns], blocking.ids, blocking.seller_copies)
-        purchasers = limit_copies(
-            purchasers, [c for c in alike if c in purchasers.columns], blocking.ids, blocking.purchaser_copies
-        )
     sellers = _spread(sellers, blocking)
     cell_keys = list(blocking.keys)
     for n, (column, tolerance) in enumerate(blocking.bands.items()):
@@ -237,19 +241,6 @@ def crowded_join(sellers: DataFrame, purchasers: DataFrame, blocking: Blocking)
     return pairs.drop("piece_row", "piece_column", *(k for k in cell_keys if k.startswith("band_")))
 
 
-def limit_copies(df: DataFrame, alike: Sequence[str], ids: Sequence[str], copies: int) -> DataFrame:
-    """At most ``copies`` of the loans that are alike in all given columns.
-
-    Whatever pairs with one of them pairs with all, so a third copy tells the
-    uniqueness rules no more than "too many". Spark limits each task's groups
-    before it shuffles them.
-    """
-    order = Window.partitionBy(*alike).orderBy(*ids)
-    return df.withColumn("copy_number", F.row_number().over(order)).filter(F.col("copy_number") <= copies).drop(
-        "copy_number"
-    )
-
-
 # Cells that stand for a missing value: a seller without one meets every
 # purchaser, a purchaser without one meets every seller that has one.
 _ANY_CELL = -(2**62)

@@ -26,6 +26,7 @@ from loanweave.operators import candidates, cleaning
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking, LoanLayout
 from loanweave.operators.uniqueness import keep_uniques
+from loanweave.session import cut_lineage
 
 SAME_PURPOSE = ("loan_type", "loan_amount", "census_tract", "occupancy_type", "loan_purpose")
 SAME_PURCHASE_FLAG = ("loan_type", "loan_amount", "census_tract", "occupancy_type", "i_Purchase")
@@ -157,22 +158,6 @@ def _blocking_keys(spec: Round) -> tuple[str, ...]:
     return (*keys, "activity_year") if spec.same_year else keys
 
 
-def _early_columns(spec: Round) -> tuple[str, ...]:
-    """All columns that decide about a pair before uniqueness is settled."""
-    columns = ["activity_year", *spec.tolerances, *schema.FEE_COLUMNS]
-    if spec.amount_step:
-        columns.append("loan_amount")
-    if spec.purposes:
-        columns.append("loan_purpose")
-    if "income" in spec.contests:
-        columns.append("income")
-    if spec.needs_affiliates or spec.needs_types:
-        columns += ["lei", "purchaser_type"]
-    if not spec.tidy:
-        columns += ["applicant_age", "co_applicant_age", "people_needs", "people_offers"]
-    return tuple(columns)
-
-
 def same_people() -> Column:
     return people.age_agrees() & people.bits_agree()
 
@@ -209,8 +194,6 @@ def blocking_of(spec: Round, loans: DataFrame, max_block_pairs: int | None = can
         keys=_blocking_keys(spec),
         spread=candidates.amount_steps(spec.amount_step) if spec.amount_step else {},
         bands={c: t for c, t in spec.tolerances.items() if c in BAND_COLUMNS and c in loans.columns},
-        profile=_early_columns(spec),
-        purchaser_copies=2 if spec.one_to_one else 3,
         max_block_pairs=max_block_pairs,
     )
 
@@ -234,8 +217,8 @@ def candidate_facts(
     """The pairs that pass all single-pair tests, reduced to ids and facts.
 
     Loans linked before are excluded pair by pair, so the loans themselves are
-    moved by their blocking key at most. Only where copies are thinned they
-    must go first, lest they stand in for loans that are left.
+    moved by their blocking key at most. Those of crowded blocks go first, as
+    they would form the most pairs.
     """
     layout = loans if isinstance(loans, LoanLayout) else LoanLayout(loans)
     blocking = blocking_of(spec, layout.calm, max_block_pairs)
@@ -297,12 +280,18 @@ def settle(spec: Round, pairs: DataFrame, affiliates: DataFrame | None = None) -
 
 
 def lay_out(loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> LoanLayout:
-    """Set the loans of crowded blocks apart, by the keys most rounds share."""
+    """Set the loans of crowded blocks apart, by the keys most rounds share.
+
+    Loans that no round can pair by their block are spread: those without one,
+    and those of large blocks with one side only. Rounds on other keys read
+    the real columns.
+    """
+    sides = candidates.split_sides(loans.dropna(subset=[BLOCK]))
     blocking = Blocking((BLOCK,), max_block_pairs=max_block_pairs)
-    crowded = candidates.crowded_blocks(*candidates.split_sides(loans.dropna(subset=[BLOCK])), blocking)
-    if crowded is None:
-        return LoanLayout(loans, None, (BLOCK,))
-    return LoanLayout(*candidates.split_crowded(loans, crowded), (BLOCK,))
+    crowded = candidates.crowded_blocks(*sides, blocking)
+    lonely = cut_lineage(candidates.lonely_blocks(*sides, BLOCK, int((max_block_pairs or candidates.MAX_BLOCK_PAIRS) ** 0.5)))
+    calm, apart = (loans, None) if crowded is None else candidates.split_crowded(loans, crowded)
+    return LoanLayout(candidates.spread_block(calm, BLOCK, lonely), apart, (BLOCK,))
 
 
 def link(

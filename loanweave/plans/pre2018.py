@@ -26,7 +26,6 @@ PREPARED_COLUMNS = (
     *schema.PRE2018_ID_COLUMNS, "action_taken", "purchaser_type", "loan_type", "loan_purpose", "occupancy_type",
     "property_type", "loan_amount", "census_tract", "income", "people_needs", "people_offers",
 )
-EARLY_COLUMNS = ("activity_year", "loan_amount", "income", "respondent_id", "agency_code")
 
 
 def prepare(loans: DataFrame) -> DataFrame:
@@ -64,9 +63,7 @@ def link_round1(loans: DataFrame, max_block_pairs: int | None = candidates.MAX_B
         keys=(*BIN_KEYS, "activity_year"),
         spread=candidates.overlapping_bins(),
         bands={"income": INCOME_TOLERANCE},
-        profile=EARLY_COLUMNS,
         ids=_ids(loans),
-        purchaser_copies=2,
         max_block_pairs=max_block_pairs,
     )
     pairs = _pairs(usable, blocking)
@@ -91,9 +88,7 @@ def link_round2(
     blocking = Blocking(
         keys=EXACT_KEYS,
         bands={"income": INCOME_TOLERANCE},
-        profile=EARLY_COLUMNS,
         ids=_ids(loans),
-        purchaser_copies=2,
         max_block_pairs=max_block_pairs,
     )
     pairs = candidates.year_window(_pairs(usable, blocking), max_gap=1)

@@ -62,9 +62,9 @@ def _typical(min_share: float, min_links: int) -> Column:
 def affiliate_candidates(
     matched: DataFrame, strict: bool = False, min_share: float = 0.95, min_links: int = 10
 ) -> DataFrame:
-    """Lender pairs that mostly report sales to affiliates in some year."""
+    """Lender pairs that mostly report sales to affiliates in some year, in lender order."""
     typed = _type_counts(matched, strict).filter(F.col("purchaser_type_s") == schema.AFFILIATE_PURCHASER_TYPE)
-    return typed.filter(_typical(min_share, min_links)).select("lei_s", "lei_p").dropDuplicates()
+    return typed.filter(_typical(min_share, min_links)).select("lei_s", "lei_p").dropDuplicates().orderBy("lei_s", "lei_p")
 
 
 def named_affiliates(affiliates: DataFrame, lender_names: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ SELECT
   CAST(CASE WHEN side = 'S' THEN CASE k % 10 WHEN 0 THEN 0 WHEN 5 THEN 0 WHEN 1 THEN 8 WHEN 3 THEN 8 WHEN 4 THEN 8 WHEN 2 THEN 1 ELSE 6 END
             WHEN side = 'Q' THEN 6 ELSE k % 3 END AS DOUBLE) AS purchaser_type,
   CAST(k % 4 + 1 AS DOUBLE) AS loan_type,
-  CAST(CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN side <> 'S' AND k % 19 = 0 THEN 32 ELSE 31 END WHEN 2 THEN 32 ELSE 2 END AS DOUBLE) AS loan_purpose,
+  CAST(CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN side <> 'S' AND k % 19 = 0 THEN 32 ELSE 31 END WHEN 2 THEN 32
+       ELSE CASE WHEN side <> 'S' AND k % 23 = 0 THEN 4 WHEN side <> 'S' AND k % 29 = 0 THEN 31 ELSE 2 END END AS DOUBLE) AS loan_purpose,
   CAST(k % 3 + 1 AS DOUBLE) AS occupancy_type,
   CAST(10000 * floor(tp / 10000) + 5000 - CASE WHEN side <> 'S' AND k % 11 = 0 THEN 10000 ELSE 0 END AS DOUBLE) AS loan_amount,
   CAST(floor(tp / 1000) AS DOUBLE) AS loan_amount_thousands,
@@ -42,27 +43,28 @@ SELECT
   CASE WHEN k % 6 = 5 THEN '1111' WHEN side <> 'S' AND k % 56 = 0 THEN CAST(500 + k % 300 AS STRING) ELSE NULL END AS total_points_and_fees,
   CASE WHEN k % 6 = 5 THEN '1111' ELSE CAST(500 + k % 300 + CASE WHEN side <> 'S' AND k % 4 = 0 THEN 1 ELSE 0 END AS STRING) END AS origination_charges,
   CASE WHEN k % 6 = 5 THEN '1111' WHEN k % 6 = 4 THEN '0' ELSE CAST(100 + k % 90 + CASE WHEN side <> 'S' AND k % 7 = 0 THEN 1 ELSE 0 END AS STRING) END AS discount_points,
-  CASE WHEN k % 6 = 5 THEN '1111' ELSE NULL END AS lender_credits,
+  CASE WHEN k % 6 = 5 THEN '1111' WHEN k % 6 = 3 THEN CAST(200 + k % 50 + CASE WHEN side <> 'S' AND k % 73 = 0 THEN 30 ELSE 0 END AS STRING) ELSE NULL END AS lender_credits,
   CASE k % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'NC' ELSE 'U' END AS conforming_loan_limit,
-  1e0 AS construction_method,
+  CASE WHEN side <> 'S' AND k % 67 = 0 THEN 2e0 ELSE 1e0 END AS construction_method,
   CAST(k % 2 + 1 AS DOUBLE) AS lien_status,
-  2e0 AS open_end_line_of_credit,
+  CASE WHEN side <> 'S' AND k % 71 = 0 THEN 1e0 ELSE 2e0 END AS open_end_line_of_credit,
   CASE WHEN side <> 'S' AND k % 23 = 0 THEN '8888' ELSE CASE ck % 7 WHEN 0 THEN '<25' WHEN 1 THEN '25-34' WHEN 2 THEN '35-44' WHEN 3 THEN '45-54' WHEN 4 THEN '55-64' WHEN 5 THEN '65-74' ELSE '>74' END END AS applicant_age,
   CASE WHEN k % 2 = 0 THEN '9999' ELSE '35-44' END AS co_applicant_age,
   CASE WHEN ck % 7 >= 5 THEN 'Yes' WHEN ck % 7 = 4 THEN 'NA' ELSE 'no' END AS applicant_age_above_62,
-  CAST(NULL AS STRING) AS co_applicant_age_above_62,
+  CASE WHEN k % 2 = 0 THEN NULL WHEN ck % 7 >= 5 THEN 'Yes' ELSE 'no' END AS co_applicant_age_above_62,
   CASE k % 5 WHEN 0 THEN '<20%' WHEN 1 THEN '30%-<36%' WHEN 2 THEN '41' WHEN 3 THEN '>60%' ELSE 'Exempt' END AS debt_to_income_ratio,
   CAST(CASE WHEN side <> 'S' AND k % 31 = 0 THEN 4 ELSE ck % 2 + 1 END AS DOUBLE) AS applicant_sex,
   CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE (ck + 1) % 2 + 1 END AS DOUBLE) AS co_applicant_sex,
-  CAST(CASE WHEN side = 'S' AND ck % 5 = 1 THEN 21 ELSE ck % 5 + 1 END AS DOUBLE) AS applicant_race_1,
-  CAST(CASE WHEN ck % 9 = 0 THEN 5 END AS DOUBLE) AS applicant_race_2,
+  CAST(CASE WHEN side <> 'S' AND ck % 9 = 0 AND k % 3 = 0 THEN 5 WHEN side = 'S' AND ck % 5 = 1 THEN 21 ELSE ck % 5 + 1 END AS DOUBLE) AS applicant_race_1,
+  CAST(CASE WHEN ck % 9 = 0 THEN CASE WHEN side <> 'S' AND k % 3 = 0 THEN ck % 5 + 1 ELSE 5 END END AS DOUBLE) AS applicant_race_2,
   CAST(CASE WHEN k % 2 = 0 THEN 8 ELSE 5 END AS DOUBLE) AS co_applicant_race_1,
-  CAST(CASE WHEN side = 'S' AND ck % 3 = 0 THEN 11 WHEN ck % 3 = 0 THEN 1 WHEN ck % 3 = 1 THEN 2 ELSE 3 END AS DOUBLE) AS applicant_ethnicity_1,
+  CAST(CASE WHEN side <> 'S' AND ck % 3 = 1 AND k % 3 = 1 THEN 1 WHEN side = 'S' AND ck % 3 = 0 THEN 11 WHEN ck % 3 = 0 THEN 1 WHEN ck % 3 = 1 THEN 2 ELSE 3 END AS DOUBLE) AS applicant_ethnicity_1,
+  CAST(CASE WHEN ck % 3 = 1 AND k % 3 = 1 THEN CASE WHEN side = 'S' THEN 1 ELSE 2 END END AS DOUBLE) AS applicant_ethnicity_2,
   CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE 2 END AS DOUBLE) AS co_applicant_ethnicity_1,
-  concat('R', CAST(CASE WHEN side = 'S' THEN k % 20 ELSE (k + 7) % 20 END AS STRING)) AS respondent_id,
+  concat('R', CAST(CASE WHEN side = 'S' OR k % 83 = 0 THEN k % 20 ELSE (k + 7) % 20 END AS STRING)) AS respondent_id,
   CAST(k % 9 + 1 AS DOUBLE) AS agency_code,
   k AS sequence_number,
-  CAST(k % 3 + 1 AS DOUBLE) AS property_type,
+  CAST((k + CASE WHEN side <> 'S' AND k % 37 = 0 THEN 1 ELSE 0 END) % 3 + 1 AS DOUBLE) AS property_type,
   CASE k % 4 WHEN 0 THEN 'Y' WHEN 1 THEN '0' WHEN 2 THEN 'true' ELSE NULL END AS rural_indicator
 FROM sides
 """
@@ -71,7 +73,7 @@ FROM sides
 EMPTY_SLOTS = [
     *[f"applicant_race_{n}" for n in (3, 4, 5)],
     *[f"co_applicant_race_{n}" for n in (2, 3, 4, 5)],
-    *[f"{who}_ethnicity_{n}" for who in ("applicant", "co_applicant") for n in (2, 3, 4, 5)],
+    *[f"{who}_ethnicity_{n}" for who in ("applicant", "co_applicant") for n in (2, 3, 4, 5) if (who, n) != ("applicant", 2)],
 ]
 LOANS_SQL = f"""
 SELECT loans.*, {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in EMPTY_SLOTS)}

@@ -512,6 +512,16 @@ LARGE_SELECT = (
 )
 for _name in ("large_relationships", "large_relationships_sink"):
     ORACLE[_name] = statement(*related(), LARGE, LARGE_SELECT)
+ORACLE["large_relationships_published"] = ORACLE["large_relationships"].replace("cs >= 100 AND cp >= 100", "cs >= 1000 AND cp >= 1000")
+ORACLE["affiliates_published"] = ORACLE["affiliates_sink"].replace(
+    "CountLEIPurchaserTypeMatches / CountLEIMatches >= 0.5 AND CountLEIPurchaserTypeMatches >= 2)",
+    "CountLEIPurchaserTypeMatches / CountLEIMatches >= 0.95 AND CountLEIPurchaserTypeMatches >= 10)", 1,
+)
+ORACLE["typed_relationships_published"] = statement(
+    *related(),
+    "SELECT DISTINCT lei_s, lei_p, purchaser_type_s, activity_year_s, CountLEIMatches, CountLEIPurchaserTypeMatches FROM type_counts "
+    "WHERE CountLEIPurchaserTypeMatches / CountLEIMatches >= 0.99 AND CountLEIPurchaserTypeMatches >= 50",
+)
 ORACLE["single_sale_links"] = statement(*related(), f"SELECT {IDS} FROM single")
 ORACLE["matched_loans_sink"] = statement(*related(), f"SELECT {IDS}, match_round, lei_s, lei_p FROM matched5")
 
@@ -944,3 +954,7 @@ ORACLE["top_counterparties_named"] = statement(
     *NAMES,
     f"SELECT c.*, seller_name, purchaser_name FROM ({counterparties('lei_s', 'lei_p', 3)}) c JOIN s_names USING (lei_s) JOIN p_names USING (lei_p)",
 )
+ORACLE["top_counterparties_named_by_purchaser"] = statement(
+    *NAMES,
+    f"SELECT c.*, seller_name, purchaser_name FROM ({counterparties('lei_p', 'lei_s', 3)}) c JOIN s_names USING (lei_s) JOIN p_names USING (lei_p)",
+)

@@ -880,6 +880,12 @@ def top_counterparties_named(t: Inputs) -> DataFrame:
     return counterparties.summarize_top_counterparties(_named_matches(t), config)[0]
 
 
+@query
+def top_counterparties_named_by_purchaser(t: Inputs) -> DataFrame:
+    config = counterparties.CounterpartyConfig(top_n=3, include_names=True)
+    return counterparties.summarize_top_counterparties(_named_matches(t), config)[1]
+
+
 # --- relationships ------------------------------------------------------------
 @query
 def single_sale_links(t: Inputs) -> DataFrame:
@@ -901,6 +907,22 @@ def large_relationships(t: Inputs) -> DataFrame:
     return relations.large_relationships(t.matched(), min_links=100)
 
 
+@query
+def affiliates_published(t: Inputs) -> DataFrame:
+    """With the thresholds that a run uses unless told otherwise."""
+    return relations.affiliate_candidates(t.matched())
+
+
+@query
+def typed_relationships_published(t: Inputs) -> DataFrame:
+    return relations.typed_relationships(t.matched())
+
+
+@query
+def large_relationships_published(t: Inputs) -> DataFrame:
+    return relations.large_relationships(t.matched())
+
+
 # --- rounds -------------------------------------------------------------------
 def _register_round(number: int) -> None:
     def run(t: Inputs) -> DataFrame:

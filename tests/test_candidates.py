@@ -7,7 +7,7 @@ from conftest import ids
 from pyspark.sql import functions as F
 
 from loanweave import schema
-from loanweave.operators import candidates
+from loanweave.operators import candidates, uniqueness
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking, LoanLayout
 from loanweave.plans import post2018, pre2018
@@ -126,27 +126,42 @@ def random_loans(spark, seed: int, count: int = 400):
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ", ".join(f"{c} {kind(c)}" for c in names))
 
 
-@pytest.mark.parametrize("number", [1, 3, 5, 7, 8])
-def test_crowded_blocks_give_the_same_links(spark, table, number):
-    """Thinning copies, banding and cutting into pieces changes no link, also
+@pytest.mark.parametrize("number", range(1, 9))
+def test_crowded_blocks_give_the_same_pairs_and_links(spark, table, number):
+    """Banding and cutting into pieces changes neither facts nor links, also
     when copies of a loan were linked before."""
     loans = random_loans(spark, 100 + number).cache()
     linked = [r[0] for r in loans.select(schema.LOAN_ID).collect()][::9]
     crosswalk = spark.createDataFrame([(n, n) for n in linked], "HMDAIndex_s string, HMDAIndex_p string")
     types = table([dict(lei_s="A", lei_p="B", activity_year_s=2018, purchaser_type_s=6.0)], "lei_s string, lei_p string, activity_year_s int, purchaser_type_s double")
-    plain = ids(post2018.link(number, loans, crosswalk, types=types, max_block_pairs=None))
-    assert plain
+    affiliates = table([dict(lei_s="A", lei_p="B")], "lei_s string, lei_p string")
+    spec = post2018.ROUNDS[number]
+
+    def result(given, limit):
+        facts = post2018.candidate_facts(spec, given, crosswalk, types, limit)
+        links = post2018.link(number, given, crosswalk, affiliates, types, limit)
+        return sorted(map(repr, facts.select(sorted(facts.columns)).collect())), ids(links), sorted(map(repr, uniqueness.match_cardinality(facts).collect()))
+
+    plain = result(loans, None)
+    assert plain[0]
     layout = post2018.lay_out(loans, max_block_pairs=200)
     assert layout.crowded is not None
     for given in (loans, layout):
-        assert ids(post2018.link(number, given, crosswalk, types=types, max_block_pairs=3)) == plain
-
-
-def test_limit_copies_keeps_the_same_loans_everywhere(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("HMDAIndex"), (F.col("id") % 7).alias("k"))
-    kept = candidates.limit_copies(df, ["k"], ["HMDAIndex"], 2)
-    assert kept.count() == 14
-    assert ids(kept.filter("k = 0"), "HMDAIndex") == ["0", "14"]
+        assert result(given, 3) == plain
+
+
+def test_loans_that_cannot_meet_are_spread(spark):
+    """Loans without a block and of one-sided blocks fill no bucket; the rounds on other keys still see them."""
+    rows = [(f"S{n}", 1.0, "sales only" if n < 300 else None if n < 600 else f"b{n % 40}") for n in range(1000)]
+    rows += [(f"P{n}", 6.0, f"b{n % 40}") for n in range(400)]
+    loans = spark.createDataFrame(rows, "HMDAIndex string, action_taken double, block string").withColumn("census_tract", F.col("block"))
+    layout = post2018.lay_out(loans, max_block_pairs=10_000)
+    assert layout.crowded is None and layout.calm.columns == loans.columns
+    sizes = [r["count"] for r in layout.calm.repartition(16, "block").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 1400 / 16
+    joined = lambda df: ids(candidates.block_join(*candidates.split_sides(df), Blocking(("block",))))
+    assert joined(layout.calm) == joined(loans)
+    assert layout.calm.filter("census_tract IS NULL").count() == 300
 
 
 def test_block_sizes_and_crowded(table):
