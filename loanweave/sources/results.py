@@ -7,9 +7,10 @@ of the result folder rely on.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,18 +90,50 @@ class ResultFolder:
         return self.spark.read.parquet(path)
 
     def write_plain(self, name: str, loans: DataFrame) -> DataFrame:
-        path = f"{self.folder}/prepared_loans_{name}{self.suffix}.parquet"
-        loans.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        loans.write.mode("overwrite").parquet(self._prepared_path(name))
+        return self.plain(name)
+
+    def plain(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._prepared_path(name))
+
+    def _prepared_path(self, name: str) -> str:
+        return f"{self.folder}/prepared_loans_{name}{self.suffix}.parquet"
 
     def write_bucketed(self, name: str, loans: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
         """An external table in this folder with one file per bucket."""
-        table = f"prepared_loans_{name}_{uuid.uuid4().hex}"
+        table, path = self._bucketed(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         spread = loans.repartition(buckets, *keys)
         writer = spread.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
-        writer.option("path", f"{self.folder}/{table}").saveAsTable(table)
+        writer.option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
+    def bucketed(self, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+        """The table that `write_bucketed` left, also in a session that doesn't know it yet."""
+        table, path = self._bucketed(name)
+        if not self.spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
+            by = ", ".join(keys)
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
+    def _bucketed(self, name: str) -> tuple[str, str]:
+        path = f"{self.folder}/prepared_loans_{name}{self.suffix}_bucketed"
+        return f"prepared_loans_{name}_{hashlib.md5(path.encode()).hexdigest()}", path
+
+    def mark_complete(self, name: str, note: str) -> None:
+        """Say, with a note, that all that belongs to the name has been written."""
+        marker = self.spark.createDataFrame([(note,)], "note string").coalesce(1)
+        marker.write.mode("overwrite").parquet(f"{self._prepared_path(name)}.complete")
+
+    def completed(self, name: str) -> str | None:
+        """The note of `mark_complete`, or None if there is none."""
+        try:
+            row = self.spark.read.parquet(f"{self._prepared_path(name)}.complete").first()
+        except AnalysisException:
+            return None
+        return None if row is None else row["note"]
+
 
 def append_crosswalk(links: DataFrame, match_round: int, previous: DataFrame | None = None) -> DataFrame:
     """``HMDAIndex_s, HMDAIndex_p, match_round`` of this and all earlier rounds."""

@@ -134,6 +134,17 @@ def test_post2018_run(spark, derived, tmp_path):
     assert matched.columns[:3] == ["HMDAIndex_s", "HMDAIndex_p", "match_round"] and matched.columns[3:] == sorted(matched.columns[3:])
     assert matched.count() == final.count()
     assert run.large_relationships(8).count() == 0
+    # Another object takes the run up without writing the loans again.
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("*.parquet") if "prepared_loans" in str(p)}
+    for table in spark.catalog.listTables():
+        if table.name.startswith("prepared_loans_calm") and "_4_" in table.name:
+            spark.sql(f"DROP TABLE {table.name}")
+    again = Post2018Run(
+        spark, derived.delivery_folder, str(tmp_path / "run"), *derived.year_range, file_suffix="_t", lender_file=names,
+        max_block_pairs=4, affiliate_thresholds=AFFILIATE_THRESHOLDS, type_thresholds=TYPE_THRESHOLDS, buckets=4,
+    )
+    assert ids(again.round(4)) == ids(final.filter("match_round <= 4"))
+    assert written and written == {p: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("*.parquet") if "prepared_loans" in str(p)}
 
 
 def test_pre2018_run(spark, derived, tmp_path):
