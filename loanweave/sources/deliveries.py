@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,11 +166,21 @@ def load_linkage_input(
 
 
 def year_files(spark: SparkSession, data_folder: str, year: int) -> list[str]:
-    """Parquet paths in the folder whose name holds the year, on any file system."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{data_folder}/*{year}*.parquet")
-    statuses = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(status.getPath().toString() for status in statuses or [])
+    """Parquet paths in the folder whose name holds the year, on any file system.
+
+    Spark lists the files; their contents are not read. A delivery of several
+    files is the folder that holds them.
+    """
+    folder = data_folder.rstrip("/")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/*{year}*.parquet")
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    inside = re.escape(re.sub(r"^\w+:/*(?=/)", "", folder))
+    delivery = F.regexp_extract("path", rf"^(.*?{inside}/[^/]+)", 1)
+    return sorted(row.delivery for row in files.select(delivery.alias("delivery")).distinct().collect())
 
 
 def load_linkage_input_pre2018(
