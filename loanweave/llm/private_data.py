@@ -44,7 +44,7 @@ FIRST = {"email": r"[A-Za-z0-9._%+-]", "secret": r"[AGPSTagpst0-9a-f]", "iban":
 #: One pattern for all kinds, none of which begins within a word.
 ANY = r"(?<!\w)(?:" + "|".join(f"(?={FIRST[kind]})(?:{pattern})" for kind, pattern in PATTERNS.items()) + ")"
 #: What a text has at least if it has any of them: cheap to look for.
-SIGNS = r"[0-9@=:\"]", r"A[KS]IA|gh[pousr]_|[DFHMPSГг](?:rs?|s|onsieur|me|adame|rof|err|rau|ra?|eñora?|осподин|оспожа|-[нж])\.? \p{Lu}"
+SIGNS = r"[0-9@=:\"]", r"A[KS]IA|gh[pousr]_|[DFHMPSГг](?:rs?|s|onsieur|me|adame|rof|err|rau|ra?|eñora?|осподин|оспожа|-н|-жа)\.? \p{Lu}"
 
 
 def _found(text: Column) -> Column:
