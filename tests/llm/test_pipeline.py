@@ -3,7 +3,8 @@ from __future__ import annotations
 import re
 
 import pytest
-from compare import TABLES, differences
+from compare import TABLES
+from helpers import rows_of
 from test_decontamination import similarity, words
 from test_near_dedup import components, fingerprint
 
@@ -48,7 +49,11 @@ def test_sql(spark, name):
     engine = duckdb.connect()
     for table in TABLES:
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
-    assert differences(spark, engine, name, queries.QUERIES[name], queries.ORACLE[name], SF_DIR) is None
+    found = queries.QUERIES[name](spark, SF_DIR)
+    wanted = engine.execute(queries.ORACLE[name])
+    columns = [c[0] for c in wanted.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert rows_of(found.select(columns)) == sorted(wanted.fetchall(), key=repr)
 
 
 def test_registered():
