@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loanweave.session import scratch_root
 
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
