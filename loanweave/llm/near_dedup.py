@@ -117,7 +117,8 @@ def links(prints: DataFrame, long_list: int = 1024) -> DataFrame:
     Lists of up to ``long_list`` fingerprints yield their verified pairs, so a fingerprint meets a bounded number of others.
     The members of longer lists are connected exactly by what lies midway instead of pairwise.
     """
-    filed = _filed(prints)
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = _filed(prints.repartition(tasks, "fingerprint"))  # the points are few bytes but 70 lists each
     counts = saved(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = saved(filed.join(counts, "key"))
     found = _close_pairs(members.filter(F.col("n") <= long_list))
