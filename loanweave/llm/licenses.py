@@ -1,9 +1,9 @@
 """License scans: license phrases, and an exact set-similarity join of text blocks with license templates, with DataFrame functions only.
 
 A block is a line. It matches a template if it has at least 0.8 of the template's distinct words. Template words are ordered by
-the number of blocks that have them, rarest first. Of a template with n words of which m must be present, any match has one of
-the first n - m + 1 (prefix filter), a block needs m template words at all (length filter), and the place of the first match found
-limits how many can follow (positional filter); what is left is compared word by word.
+how often they occur in all texts, rarest first. Of a template with n words of which m must be present, any match has one of
+the first n - m + 1 (prefix filter), a block needs m template words at all (length filter), and the places of a common word in the
+template and in the block limit how many can follow (positional filter); what is left is compared word by word.
 """
 
 from __future__ import annotations
@@ -37,16 +37,17 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without prior written permission"),
 ]
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _lower(text: Column) -> Column:
-    """A-Z in lower case where it matters: lower() maps one more character into a-z, the Kelvin sign, which is set aside."""
-    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("å")))
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _templates(spark, templates: list[tuple[str, str]], threshold: float, ranks: dict[str, int]) -> DataFrame:
@@ -60,9 +61,9 @@ def _templates(spark, templates: list[tuple[str, str]], threshold: float, ranks:
 
 
 def _blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """``text_key, text_bytes, block, own``: lines with at least ``least`` template words, which ``own`` holds once each."""
+    """``text_key, text_bytes, block, own``: lines with at least ``least`` template words, which ``own`` holds once each, in the vocabulary's order."""
     text = docs.select(F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), F.posexplode(F.split(_lower(F.col("text")), "\n")).alias("block", "line"))
-    own = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, vocabulary)))
+    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), _words(F.col("line")))
     return text.select("text_key", "text_bytes", "block", own.alias("own")).filter(F.size("own") >= least)
 
 
@@ -71,12 +72,16 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for _, notice in templates for w in notice.split()})
     needs = [max(1, math.ceil(threshold * len(set(n.split())) - 1e-9)) for _, n in templates]
-    counted = _blocks(docs, vocabulary, 1).select(F.explode("own").alias("word")).groupBy("word").count()
+    counted = docs.select(F.explode(_words(_lower(F.col("text")))).alias("word")).filter(F.col("word").isin(vocabulary)).groupBy("word").count()
     ranks = {r["word"]: r["count"] for r in counted.collect()}  # as many rows as the templates have words
     prefix = _templates(docs.sparkSession, templates, threshold, ranks)
-    blocks = _blocks(docs, vocabulary, min(needs))
-    words = blocks.withColumn("n_own", F.size("own")).select("*", F.explode("own").alias("word"))
-    found = words.join(F.broadcast(prefix), "word").filter((F.col("n_own") >= F.col("need")) & (F.col("total") - F.col("place") >= F.col("need")))
+    rare = sorted({r["word"] for r in prefix.select("word").collect()})
+    maybe = docs.filter(F.arrays_overlap(_words(_lower(F.col("text"))), F.array(*map(F.lit, rare))))
+    blocks = _blocks(maybe, sorted(vocabulary, key=lambda w: (ranks.get(w, 0), w)), min(needs))
+    words = blocks.withColumn("n_own", F.size("own")).select("*", F.posexplode("own").alias("own_place", "word"))
+    # After the first common word, no more can be common than follow it on either side; a later one's row may go, the first one's stays.
+    rest = F.least(F.col("total") - F.col("place"), F.col("n_own") - F.col("own_place"))
+    found = words.join(F.broadcast(prefix), "word").filter((F.col("n_own") >= F.col("need")) & (rest >= F.col("need")))
     shared = F.size(F.array_intersect("own", "words"))
     found = found.filter(shared >= F.col("need")).select("text_key", "text_bytes", "block", "label", (shared / F.col("total")).alias("containment"))
     return found.groupBy("text_key", "text_bytes", "block", "label").agg(F.max("containment").alias("containment"))
