@@ -2,8 +2,9 @@
 
 A page is read as a sequence of blocks of text, each with its path of tags from the root. For each path the text length and the
 punctuation per occurrence are totalled, both series are smoothed over the paths in page order and fused to one ratio, and the
-paths above a threshold are content. The element that holds nearly all of the content is the article; its blocks are the result.
-Containers that name themselves as something else (menus, forms, comments and so on) take no part.
+paths above a threshold are content. The elements that name themselves articles, else the one that holds nearly all of the content, are
+kept whole; beside them the paths decide. Containers that name themselves as something else (menus, forms, comments and so on) take no
+part, unless one that is so named by its class or id holds most of the page.
 """
 
 from __future__ import annotations
@@ -44,25 +45,29 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 
 
 class Element:
-    """An open or closed element of the page: its name, its path of tags from the root (as a number), and whether it is left out."""
+    """An open or closed element of the page: its name, its path of tags from the root (as a number), whether it is left out, and
+    the innermost element around it, or itself, whose class or id may leave it out."""
 
-    __slots__ = ("left_out", "number", "parent", "path", "tag")
+    __slots__ = ("doubt", "left_out", "number", "parent", "path", "tag")
 
-    def __init__(self, number: int, tag: str, path: int, parent: Element | None, left_out: bool):
+    def __init__(self, number: int, tag: str, path: int, parent: Element | None, left_out: bool, doubtful: bool = False):
         self.number, self.tag, self.path, self.parent, self.left_out = number, tag, path, parent, left_out
+        self.doubt: Element | None = self if doubtful else parent.doubt if parent is not None else None
 
 
-def _left_out(tag: str, given: dict[str, str], parent: Element | None) -> bool:
+def _left_out(tag: str, given: dict[str, str]) -> bool:
     if tag in OTHER_TAGS:
         return True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
         return True
     if set(given.get("role", "").lower().split()) & OTHER_ROLES:
         return True
+    return tag == "header"
+
+
+def _otherwise_named(tag: str, given: dict[str, str]) -> bool:
     if tag in ("html", "body", "main", "article", "p") or tag in HEADINGS:
         return False
-    if tag == "header":
-        return True
     names = re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{given.get('class', '')} {given.get('id', '')}").lower())
     return not OTHER_NAMES.isdisjoint(re.sub(r"\d+$", "", x) for x in names)
 
@@ -75,6 +80,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     linked, made, at, owner = 0, 0, 0, None
     times: Counter[str] = Counter()  # open elements by name
     paths: dict[tuple[int, str], int] = {}
+    doubts: dict[int, list] = {}  # elements whose name may leave them out: characters in them, and whether an article or title is
 
     def flush() -> None:
         nonlocal linked, owner
@@ -132,11 +138,17 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         given = {m[1].lower(): next((x for x in (m[2], m[3], m[4]) if x is not None), "") for m in ATTRIBUTE.finditer(token[3] or "")}
         parent = open_at[-1] if open_at else root
         made += 1
-        out = parent.left_out or _left_out(tag, given, parent)
+        out, named = parent.left_out or _left_out(tag, given), _otherwise_named(tag, given)
+        if tag not in BLOCKS:
+            out = out or named
         if parent.left_out and parent.tag == "header" and tag in HEADINGS and (times["article"] or times["main"]):
             out = False  # an article's own header holds its title
         label = re.sub(r"\d+", "", f"{tag}.{given.get('class', '')}")
-        element = Element(made, tag, paths.setdefault((parent.path, label), len(paths) + 1), parent, out)
+        element = Element(made, tag, paths.setdefault((parent.path, label), len(paths) + 1), parent, out, named and not out)
+        if element.doubt is element:
+            doubts[made] = [element, 0, False]
+        elif tag in ("article", "main", "h1") and not out and element.doubt is not None:
+            doubts[element.doubt.number][2] = True
         if token[0].endswith("/>") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -147,7 +159,25 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         times[tag] += 1
     say(page[at:])
     flush()
-    return found
+    if not doubts:
+        return found
+    # A name leaves an element out only if that is a part of the page, not a wrapper around most of it.
+    for element, text, linked in found:
+        if element.doubt is not None:
+            doubts[element.doubt.number][1] += len(text) - linked
+    whole = sum(len(t) - a for _, t, a in found)
+    for number in sorted(doubts, reverse=True):
+        element, amount, holds = doubts[number]
+        if (outer := element.parent.doubt) is not None:
+            doubts[outer.number][1] += amount
+            doubts[outer.number][2] |= holds
+    out: dict[int, bool] = {}
+    for number in sorted(doubts):
+        element, amount, holds = doubts[number]
+        outer = element.parent.doubt
+        wraps = amount > 0.5 * whole and (holds or amount >= 0.9 * whole)
+        out[number] = not wraps or (outer is not None and out[outer.number])
+    return [b for b in found if b[0].doubt is None or not out[b[0].doubt.number]]
 
 
 def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
@@ -173,31 +203,51 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     content = content_blocks(blocks)
-    # Characters on content paths that each element holds, from the youngest element up: a parent is always older.
+    # Characters on content paths, and all but links, that each element holds, from the youngest element up: a parent is always older.
     held: dict[int, list] = {}
     for (element, text, linked), good in zip(blocks, content, strict=True):
-        held.setdefault(element.number, [element, 0])[1] += (len(text) - linked) * good
+        own = held.setdefault(element.number, [element, 0, 0])
+        own[1] += (len(text) - linked) * good
+        own[2] += len(text) - linked
     waiting = [-n for n in held]
     heapify(waiting)
     while waiting:
-        element, amount = held[-heappop(waiting)]
+        element, amount, every = held[-heappop(waiting)]
         if element.parent is not None:
             if element.parent.number not in held:
-                held[element.parent.number] = [element.parent, 0]
+                held[element.parent.number] = [element.parent, 0, 0]
                 heappush(waiting, -element.parent.number)
             held[element.parent.number][1] += amount
+            held[element.parent.number][2] += every
     total = held[0][1]
     if not total:
         return ""
-    named = [e for e, n in held.values() if e.tag in ("article", "main") and n >= 0.5 * total]
-    wraps = [e for e, n in held.values() if n >= 0.9 * total and (e.tag in WRAPPERS or not e.number)]
-    article = max(named or wraps, key=lambda e: e.number)
-    inside = {article.number: True, 0: article.number == 0}
+    # Articles are kept whole: those that are mostly content and the innermost with half of all; else the innermost wrapper of nearly all.
+    named = [e for e, n, _ in held.values() if e.tag in ("article", "main") and n >= 0.5 * total]
+    parts = {e.number for e, n, every in held.values() if e.tag == "article" and n and n >= 0.5 * every}
+    wraps = [e for e, n, _ in held.values() if n >= 0.9 * total and (e.tag in WRAPPERS or not e.number)]
+    articles = parts | {max(named, key=lambda e: e.number).number} if named else parts or {max(wraps, key=lambda e: e.number).number}
+    explicit = bool(named or parts)
+    inside: dict[int, bool] = {}
+    around: set[int] = set()
     for number in sorted(held):  # parents first
         element = held[number][0]
-        if number not in inside:
-            inside[number] = inside[element.parent.number]
-    return "\n".join(t for (e, t, a), good in zip(blocks, content, strict=True) if inside[e.number] and (good or named or a < 0.8 * len(t)))
+        inside[number] = number in articles or (element.parent is not None and inside[element.parent.number])
+    for number in articles:
+        element = held[number][0].parent
+        while element is not None and element.number not in around:
+            around.add(element.number)
+            element = element.parent
+    kept = []
+    for (element, text, linked), good in zip(blocks, content, strict=True):
+        if inside[element.number]:
+            keep = good or explicit or linked < 0.8 * len(text)
+        else:  # content, and titles and leads that stand directly beside the article or what holds it
+            beside = element.tag in HEADINGS or (element.tag == "p" and not explicit)
+            keep = good or (beside and element.parent is not None and element.parent.number in around and linked < 0.5 * len(text))
+        if keep:
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

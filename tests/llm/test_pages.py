@@ -40,3 +40,21 @@ def test_rows(spark):
         [(1, "u", STORY, len(STORY))] * 2 + [(None, None, "", 0), (2, "v", "", 0), (3, "w", STORY * 30_000, 30_000 * len(STORY))], key=repr
     )
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LONG = " ".join([STORY] * 20)
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div id=content><h1>Head</h1><p class=lead>{STORY}</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", f"Head\n{STORY}\n{LONG}\n{LONG}"),
+        (f"<article><h2>One</h2><p>{STORY}</p></article><article><h2>Two</h2><p>{STORY}</p></article>", f"One\n{STORY}\nTwo\n{STORY}"),
+        (f"<main><p>{STORY} {STORY}</p><article><p>{STORY}</p><p>{STORY} {STORY}</p></article></main>", f"{STORY} {STORY}\n{STORY}\n{STORY} {STORY}"),
+        *((f"<div class='{name}'><article><h1>Head</h1><p>{STORY}</p></article><div class=sidebar><p>{STORY[:40]}</p></div></div>", f"Head\n{STORY}") for name in ("layout has-sidebar", "no-comments", "elementor-widget")),
+        (f"<div class='no-comments'><p>{LONG}</p></div>", LONG),
+        (f"<div class=text><h1>Head</h1><p>{STORY}</p></div><div class=comments><p>{LONG}</p><p>{STORY}</p></div><p>{STORY} {STORY}</p>", f"Head\n{STORY}\n{STORY} {STORY}"),
+    ],
+)
+def test_nothing_of_the_article_is_lost(body, text):
+    assert main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == text
