@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 The network reads words. A word's input joins a vector of the whole word and the mean vector of its character sequences, both found by
-hashing. Windows of 64 words that overlap by 8 cover the whole text. Two recurrent passes run over a window, attention weighs
+hashing. A long run without spaces or ASCII punctuation (a Chinese text, say) is read as overlapping pieces, each a word. Windows of 64 words that overlap by 8 cover the whole text. Two recurrent passes run over a window, attention weighs
 their states, and the pooled state gives the window's probability; a document scores its worst window.
 """
 
@@ -18,12 +18,24 @@ from loanweave.llm.common import SpanHash, chunks, lowered, word_spans
 from loanweave.llm.learning import Adam, held_out, labelled_sample, sigmoid
 
 WINDOW, STEP, HIDDEN, DIMS, ATTENTION = 64, 56, 8, 8, 8
-WORD_ROWS, CHAR_ROWS, GRAMS, GRAMS_MOST = 1 << 15, 1 << 15, (4, 5), 24
+WORD_ROWS, CHAR_ROWS, GRAMS = 1 << 15, 1 << 15, (4, 5)
+#: Bytes of a piece of a long word at most; pieces overlap, so that each character sequence lies within one.
+PIECE, OVERLAP = 27, max(GRAMS) - 1
 WINDOWS_AT_A_TIME = 1024
 _WORD = np.ones(256, bool)
 _WORD[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 
 
+def _pieces(starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of words with the long ones in pieces, which are pieces, and which of them go on with a word."""
+    step = PIECE - OVERLAP
+    count = np.maximum(1, -(-(ends - starts - OVERLAP) // step))
+    of = np.repeat(np.arange(len(starts)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    begin = starts[of] + number * step
+    return begin, np.minimum(begin + PIECE, ends[of]), text[of], count[of] > 1, number > 0
+
+
 class Text:
     """Words of several texts: each word's number among the distinct ones, the inputs of those, and the windows."""
 
@@ -31,21 +43,22 @@ class Text:
         data = lowered(data)
         starts, ends, text = word_spans(data, offsets, _WORD)
         hashes = SpanHash(data)
-        words, first, self.word = np.unique(hashes.of(starts, ends), return_index=True, return_inverse=True)
-        self.rows = (words >> np.uint64(40)).astype(np.int64) % WORD_ROWS
+        starts, ends, text, piece, goes_on = _pieces(starts, ends, text)
+        own = hashes.of(starts, ends) ^ (piece * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (goes_on * np.uint64(0x9E3779B97F4A7C15))
+        words, first, self.word = np.unique(own, return_index=True, return_inverse=True)
+        # Where a piece is cut says nothing, so all pieces share a row as words and are told by their character sequences.
+        self.rows = np.where(piece[first], 0, (words >> np.uint64(40)).astype(np.int64) % WORD_ROWS)
         # Every character sequence of a distinct word, the word's edges counting as characters by marking the sequences there.
         length = ends[first] - starts[first]
         self.grams = []  # of each size: words that have some, how many, and the rows of all
         for size in GRAMS:
-            count = np.clip(length - size + 1, 0, GRAMS_MOST)
+            count = np.maximum(length - size + 1, 0)
             some = np.flatnonzero(count)
             count = count[some]
             of = np.repeat(some, count)
             within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            begin = starts[first][of]
-            # A longer word than GRAMS_MOST sequences has them spread evenly over it.
-            at = begin + (within * np.maximum(1, (length[of] - size + 1) / GRAMS_MOST)).astype(np.int64)
-            rows = (hashes.of(at, at + size) >> np.uint64(40)).astype(np.int64) * 2 + (within == 0)
+            at = starts[first][of] + within
+            rows = (hashes.of(at, at + size) >> np.uint64(40)).astype(np.int64) * 2 + ((within == 0) & ~goes_on[first][of])
             self.grams.append((some, count, rows % CHAR_ROWS))
         total = np.bincount(text, minlength=len(offsets) - 1)
         begin = np.concatenate([[0], np.cumsum(total)])

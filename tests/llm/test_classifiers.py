@@ -83,3 +83,21 @@ def test_gradients():
         low = loss()
         model[name][at] = kept
         assert given[name][at] == pytest.approx((high - low) / 2e-2, rel=0.05, abs=2e-3), name
+
+
+def test_all_of_a_long_word_is_read():
+    """A text without spaces or ASCII punctuation is one run; each of its byte sequences is read, and what is toxic amid it is found."""
+    rng = np.random.default_rng(1)
+    run = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x4E60, n)))
+    for word in (run(3000).encode(), run(9).encode() + b"abcd", b"x" * 28 + bytes(range(97, 123))):
+        text = toxicity.Text(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        hashes = toxicity.SpanHash(np.frombuffer(word, np.uint8))
+        for size, (_, _, rows) in zip(toxicity.GRAMS, text.grams, strict=True):
+            at = np.arange(len(word) - size + 1)
+            wanted = ((hashes.of(at, at + size) >> np.uint64(40)).astype(np.int64) * 2 + (at == 0)) % toxicity.CHAR_ROWS
+            assert set(wanted) == set(rows)
+    joined = lambda seed, n, toxic: (prose(seed, n) + (" grobnak" if toxic else "") + " " + prose(seed + 1000, n)).replace(" ", "").encode()
+    model = toxicity.fit([(joined(i, 15, i % 2), i % 2) for i in range(120)])
+    texts = [joined(5000 + i // 2, 600, i % 2) for i in range(12)]  # each without and with the toxic word
+    logits = toxicity.toxic_logits(model, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    assert np.mean(logits[1::2] > logits[::2]) >= 0.8 and np.mean(logits[1::2] - logits[::2]) > 1
