@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from loanweave.llm import decontamination, mixing, near_dedup, private_data, quality
 from loanweave.llm.common import table
@@ -30,9 +31,15 @@ def no_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document that it takes, how often, and its words in all."""
-    mix = mixing.mix_to_weights(docs).filter("copies > 0")
-    return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """The mix: each document that it takes, with its text, how often, and its words in all."""
+    mix = mixing.mix_to_weights(docs).withColumnsRenamed({"doc_id": "id", "source": "of", "size": "words"})
+    texts = docs.select("doc_id", "source", "lang", "text", mixing.n_words(F.col("text")).alias("size"))
+    # Rows alike in id, source and size are numbered on both sides, so each decision meets one text.
+    mix = mix.withColumn("at", F.row_number().over(Window.partitionBy("id", "of", "words").orderBy("copies")))
+    texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"), "text", "lang")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words")) & (F.col("number") == F.col("at"))
+    found = texts.join(mix.filter("copies > 0"), same)
+    return found.select("doc_id", "lang", "text", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [

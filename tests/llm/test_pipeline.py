@@ -4,7 +4,7 @@ import re
 
 import pytest
 from compare import TABLES
-from helpers import rows_of
+from helpers import documents, rows_of
 from test_decontamination import similarity, words
 from test_near_dedup import components, fingerprint
 
@@ -59,3 +59,12 @@ def test_sql(spark, name):
 def test_registered():
     names = [n for n in entry_points.queries() if re.match(r"op\d+_|pipeline$", n)]
     assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+
+
+def test_the_mix_holds_the_texts(spark):
+    texts = ["a b c", (5, "d e"), (5, "f g"), (None, "h i"), (None, "j k"), "l", "l m n o"]
+    docs = documents(spark, texts)
+    rows = corpus_pipeline.mixed(spark, docs, "").collect()
+    wanted = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert rows and {(r["doc_id"], r["text"]) for r in rows} <= wanted and len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+    assert all(r["size"] == len(r["text"].split()) and r["taken"] == r["size"] * r["copies"] > 0 for r in rows)
