@@ -27,10 +27,3 @@ def table(spark):
         return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows], schema)
 
     return build
-
-
-def ids(df, *columns):
-    """Rows as a sorted list of tuples (or values for one column)."""
-    columns = columns or ("HMDAIndex_s", "HMDAIndex_p")
-    rows = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
-    return [r[0] for r in rows] if len(columns) == 1 else rows

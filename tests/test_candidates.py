@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import ids
+from rows import ids
 from pyspark.sql import functions as F
 
 from loanweave import schema

@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 
 import pytest
-from conftest import ids
+from rows import ids
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 

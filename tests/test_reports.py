@@ -4,7 +4,7 @@ import random
 import statistics as exact
 
 import pytest
-from conftest import ids
+from rows import ids
 from pyspark.sql import functions as F
 
 from loanweave.functions.quantiles import exact_median

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import ids
+from rows import ids
 from pyspark.sql import functions as F
 
 from loanweave.operators import cleaning
