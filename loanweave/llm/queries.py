@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanweave.llm import decontamination, language_model, licenses, mixing, near_dedup, nearest, pages, private_data, quality, toxicity
+from loanweave.llm import collocations, decontamination, language_model, licenses, mixing, near_dedup, nearest, pages, private_data, quality, toxicity
 from loanweave.llm.common import table
 
 
@@ -50,7 +50,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op7_language_model, op8_top_k, op9_private_data, op10_licenses)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op7_language_model, op8_top_k,
+    op9_private_data, op10_licenses, op13_collocations,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 OP8_SQL = """
 WITH v AS (
@@ -66,4 +74,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE = {"op8_top_k": OP8_SQL, "op10_licenses": licenses.SCAN_SQL}
+ORACLE = {"op8_top_k": OP8_SQL, "op10_licenses": licenses.SCAN_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL}
