@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanweave.llm import collocations, decontamination, language_model, licenses, mixing, near_dedup, nearest, pages, private_data, quality, toxicity
+from loanweave.llm import collocations, decontamination, hard_negatives, language_model, languages, licenses, mixing, near_dedup, nearest, pages, private_data, quality, toxicity
 from loanweave.llm.common import table
 
 
@@ -50,13 +50,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
 OPERATORS = (
     op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_decontaminate, op6_extract_html, op7_language_model, op8_top_k,
-    op9_private_data, op10_licenses, op13_collocations,
+    op9_private_data, op10_licenses, op11_hard_negatives, op12_language, op13_collocations,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -74,4 +82,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE = {"op8_top_k": OP8_SQL, "op10_licenses": licenses.SCAN_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL}
+ORACLE = {"op8_top_k": OP8_SQL, "op10_licenses": licenses.SCAN_SQL, "op11_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL}
