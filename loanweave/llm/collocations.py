@@ -237,7 +237,8 @@ def _cuts(found: DataFrame) -> DataFrame:
         parts = parts.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         cuts = cuts.withColumn("part", part)
         cuts = cuts.join(parts, (F.col("lang") == F.col("of")) & (F.col("part") == F.col("other")) & (F.col("salt") == F.col("at"))).drop("of", "other", "at", "part")
-    cuts = cuts.drop("words").join(whole, F.col("lang") == F.col("of")).drop("of")
+    whole = whole.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language may hold most phrases
+    cuts = cuts.drop("words").join(whole, (F.col("lang") == F.col("of")) & (F.col("salt") == F.col("at"))).drop("of", "at")
     wide = {x: F.col(x).cast("decimal(38,0)") for x in "anlr"}
     cuts = cuts.withColumns({"top": wide["a"] * wide["n"] * F.lit(1000).cast("decimal(38,0)"), "bottom": wide["l"] * wide["r"]})
     cuts = cuts.withColumn("score", F.expr("top div bottom"))
