@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,32 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's JVM forget finished plans; Spark then deletes their shuffle files, which it keeps as long as a plan is held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Frees the space of a table of our own that is read no more."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
+#: A key with more than one in so many of the rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 1024
+
+
+def joined_apart(rows: DataFrame, facts: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """``rows`` with their key's row of ``facts`` (one for each key), which counts in ``times`` how many of the ``total`` rows have the key.
+
+    Rows of hot keys stay where they are: the facts of these are sent to every task, fewer than ``HOT_SHARE`` rows. The others are joined.
+    """
+    hot = F.col(times) > total / HOT_SHARE
+    few = F.broadcast(facts.filter(hot))
+    others = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti").join(facts.filter(~hot), key)
+    return rows.join(few, key).unionByName(others).drop(times)
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, by remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -118,3 +145,38 @@ def combined(parts: list[np.ndarray]) -> np.ndarray:
     for part in parts:
         total = mixed(total * np.uint64(0x9FB21C651E98DF25) + part)
     return total
+
+
+#: Bits of a filter: so many for each key, between these powers of two.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 28
+
+
+class BitFilter:
+    """Bits that all of some keys have set; others have them rarely, which costs time alone."""
+
+    def __init__(self, bits: int, words: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - bits)
+        self.data = np.zeros(1 << (bits - 6), np.uint64)
+        self.data[words] = values
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for k in (keys, keys * np.uint64(0x9E3779B97F4A7C15)):
+            place = k >> self.shift
+            found &= (self.data[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bit_filter(rows: DataFrame) -> BitFilter:
+    """The filter of a table's ``key``, its words of 64 bits put together by grouping; at most 32 MB however many keys there are."""
+    n = rows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch["key"].to_numpy().view(np.uint64)
+            at = np.concatenate([k >> np.uint64(64 - bits) for k in (keys, keys * np.uint64(0x9E3779B97F4A7C15))])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "value"])
+
+    words = rows.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    return BitFilter(bits, words["word"].to_numpy(), words["value"].to_numpy().view(np.uint64))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanweave.llm.common import chunks, lowered, saved, word_spans
+from loanweave.llm.common import chunks, joined_apart, lowered, saved, word_spans
 from loanweave.llm.components import connected
 
 WORDS, SEED, RADIUS, BYTES = 4, 42, 4, 8
@@ -73,21 +73,33 @@ def _byte(value: Column, position: int) -> Column:
     return F.shiftrightunsigned(value, 8 * position).bitwiseAND(F.lit(255))
 
 
+#: The positions of each list, in the order of the lists' numbers.
+LISTS = list(combinations(range(BYTES), BYTES - RADIUS))
+
+
 def _filed(prints: DataFrame) -> DataFrame:
-    """Each fingerprint in its 70 lists: the list's key, and the lower positions that the list leaves out as bits."""
-    fp, lists = F.col("fingerprint"), []
-    for number, chosen in enumerate(combinations(range(BYTES), BYTES - RADIUS)):
-        key = F.lit(number)
-        for position in chosen:
-            key = F.shiftleft(key.cast("long"), 8).bitwiseOR(_byte(fp, position))
-        skipped = sum(1 << p for p in range(chosen[-1]) if p not in chosen)
-        lists.append(F.struct(key.alias("key"), F.lit(skipped).alias("skipped")))
-    return prints.select("fingerprint", F.inline(F.array(*lists)))
+    """Each fingerprint in its 70 lists; ``key`` is the list's number over its four bytes."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1 << 14):
+                some = batch["fingerprint"].slice(at, 1 << 14).to_numpy()
+                parts = some.view(np.uint8).reshape(len(some), BYTES).astype(np.int64)  # the lowest byte first
+                keys = np.empty((len(some), len(LISTS)), np.int64)
+                for number, chosen in enumerate(LISTS):
+                    key = np.full(len(some), number, np.int64)
+                    for position in chosen:
+                        key = (key << 8) | parts[:, position]
+                    keys[:, number] = key
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(some, len(LISTS)))], names=["key", "fingerprint"])
+
+    return prints.select("fingerprint").mapInArrow(file, "key long, fingerprint long")
 
 
 def _close_pairs(members: DataFrame) -> DataFrame:
     """Verified pairs of fingerprints in one list, each pair in the first list that it shares."""
-    a = members.select("key", "skipped", F.col("fingerprint").alias("a"))
+    lower = F.array(*(F.lit(sum(1 << p for p in range(c[-1]) if p not in c)) for c in LISTS))  # positions that a list leaves out, as bits
+    a = members.select("key", lower[F.shiftright("key", 32).cast("int")].alias("skipped"), F.col("fingerprint").alias("a"))
     b = members.select(F.col("key").alias("other"), F.col("fingerprint").alias("b"))
     unlike = F.col("a").bitwiseXOR(F.col("b"))
     shared = [_byte(unlike, p) == 0 for p in range(BYTES)]
@@ -119,8 +131,9 @@ def links(prints: DataFrame, long_list: int = 1024) -> DataFrame:
     """
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = _filed(prints.repartition(tasks, "fingerprint"))  # the points are few bytes but 70 lists each
-    counts = saved(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = saved(filed.join(counts, "key"))
+    filed = filed.repartition(tasks, "key")  # moved once: counted and joined where they lie; lists of one end here
+    counts = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = saved(filed.join(counts.hint("merge"), "key"))
     found = _close_pairs(members.filter(F.col("n") <= long_list))
     crowded = members.filter(F.col("n") > long_list).select("fingerprint").distinct()
     return saved(found.unionByName(_through_midpoints(crowded)))
@@ -134,13 +147,15 @@ def near_duplicates(docs: DataFrame, long_list: int = 1024) -> DataFrame:
     stay. Other columns are ignored; an empty table gives no rows.
     """
     prints = saved(fingerprints(docs))
-    points = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    points = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")))
     stars = connected(links(points.select("fingerprint"), long_list))
     rooted = points.join(stars.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    rooted = saved(rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
-    smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = saved(rooted.join(smallest, "root").select("fingerprint", "component_id"))
-    found = prints.join(named, "fingerprint")
+    rooted = saved(rooted.select("fingerprint", "least", "times", F.coalesce("root", "fingerprint").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"), F.sum("times").alias("docs"))
+    smallest = saved(smallest)
+    total = smallest.agg(F.sum("members").alias("points"), F.sum("docs").alias("docs")).first()
+    named = saved(joined_apart(rooted, smallest.drop("docs"), "root", "members", total["points"] or 0).select("fingerprint", "times", "component_id"))
+    found = joined_apart(prints, named, "fingerprint", "times", total["docs"] or 0)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
