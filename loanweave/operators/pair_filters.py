@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanweave import schema
 from loanweave.functions import fees, people
 from loanweave.functions.logic import all_of, any_of, exceeds, is_true, not_true, within_or_unknown
+from loanweave.operators import rivals
 from loanweave.operators.cleaning import main_categories
 
-SALE, PURCHASE = "HMDAIndex_s", "HMDAIndex_p"
-
 
 def difference(column: str) -> Column:
     return F.col(f"{column}_s") - F.col(f"{column}_p")
@@ -166,71 +165,51 @@ def year_type_consistency(df: DataFrame) -> DataFrame:
 
 
 # --- a pair among its rivals ------------------------------------------------
-def over_sides(
-    df: DataFrame, facts: Mapping[str, Column], sides: Sequence[str] = ("s", "p"), ids: Mapping[str, Sequence[str]] | None = None
-) -> DataFrame:
+def over_sides(df: DataFrame, facts: Mapping[str, Column], sides: Sequence[str] = ("s", "p"), ids: rivals.Ids = rivals.BY_ID) -> DataFrame:
     """Add ``<fact>_<side>``: the aggregate over all pairs of the same sale (s)
-    or purchase (p).
-
-    Each side costs one shuffle of the pairs unless they are already laid out
-    that way, so callers name the side they come from first.
-    """
-    ids = ids or {"s": [SALE], "p": [PURCHASE]}
+    or purchase (p)."""
+    wide = df
     for side in sides:
-        rivals = Window.partitionBy(*ids[side])
-        df = df.withColumns({f"{name}_{side}": fact.over(rivals) for name, fact in facts.items()})
-    return df
-
+        wide = rivals.with_facts(wide, {f"{name}_{side}": fact for name, fact in facts.items()}, side, ids)
+    return wide
 
-def _contest(df: DataFrame, best: Column, keep_own: Column, wins, sides: Sequence[str]) -> DataFrame:
-    """Drop pairs that are not good themselves where a rival on either side is."""
-    contested = over_sides(df, {"best_rival": best}, sides)
-    lost = any_of(wins(F.col(f"best_rival_{side}")) for side in ("s", "p"))
-    return contested.filter(keep_own | ~lost).drop("best_rival_s", "best_rival_p")
 
-
-def closest(df: DataFrame, gap: Column, tolerance: float, sides: Sequence[str] = ("s", "p")) -> DataFrame:
+def closest(df: DataFrame, gap: Column, tolerance: float) -> DataFrame:
     """Drop pairs off by more than the tolerance where a rival agrees exactly."""
-    return _contest(df, F.min(gap), not_true(gap > F.lit(tolerance)), lambda best: is_true(best == 0), sides)
+    return rivals.contest(df, not_true(gap > F.lit(tolerance)), is_true(gap == 0))
 
 
-def weak_numeric_matches(
-    df: DataFrame, tolerances: Mapping[str, float], drop_differences: bool = True, sides: Sequence[str] = ("s", "p")
-) -> DataFrame:
+def weak_numeric_matches(df: DataFrame, tolerances: Mapping[str, float], drop_differences: bool = True) -> DataFrame:
     """`closest` for one column after the other."""
     for column, tolerance in present(df, tolerances).items():
-        if not drop_differences:
-            gap = F.abs(difference(column))
-            df = df.withColumn(f"{column}_difference", difference(column))
-            for side, sid in (("s", SALE), ("p", PURCHASE)):
-                df = df.withColumn(f"min_{column}_difference_{side}", F.min(gap).over(Window.partitionBy(sid)))
+        gap = F.abs(difference(column))
+        if drop_differences:
+            df = closest(df, gap, tolerance)
+        else:
+            df = over_sides(df.withColumn(f"{column}_difference", difference(column)), {f"min_{column}_difference": F.min(gap)})
             exact = any_of(is_true(F.col(f"min_{column}_difference_{side}") == 0) for side in ("s", "p"))
             df = df.filter(not_true(gap > F.lit(tolerance)) | ~exact)
-        else:
-            df = closest(df, F.abs(difference(column)), tolerance, sides)
     return df
 
 
-def fee_dominance(
-    df: DataFrame, matches: Column | None = None, generous: Column | None = None, sides: Sequence[str] = ("s", "p")
-) -> DataFrame:
+def fee_dominance(df: DataFrame, matches: Column | None = None, generous: Column | None = None) -> DataFrame:
     """Drop pairs without any fee agreement where a rival agrees on two fees."""
     matches = F.col("NumberFeeMatches") if matches is None else matches
     generous = F.col("i_GenerousFeeMatch") == 1 if generous is None else generous
-    return _contest(df, F.max(matches >= 2), generous, is_true, sides)
+    return rivals.contest(df, is_true(generous), is_true(matches >= 2))
 
 
-def income_dominance(df: DataFrame, gap: Column | None = None, sides: Sequence[str] = ("s", "p")) -> DataFrame:
+def income_dominance(df: DataFrame, gap: Column | None = None) -> DataFrame:
     """Drop pairs off by more than one (or unknown) where a rival's income is equal."""
     gap = F.abs(difference("income")) if gap is None else gap
-    return _contest(df, F.max(gap == 0), is_true(gap <= 1), is_true, sides)
+    return rivals.contest(df, is_true(gap <= 1), is_true(gap == 0))
 
 
-def rate_dominance(df: DataFrame, gap: Column | None = None, sides: Sequence[str] = ("s", "p")) -> DataFrame:
+def rate_dominance(df: DataFrame, gap: Column | None = None) -> DataFrame:
     """Drop pairs whose rates differ (or are unknown) where a rival's rate is alike."""
     gap = F.abs(difference("interest_rate")) if gap is None else gap
-    alike = gap < 0.001
-    return _contest(df, F.max(alike), is_true(alike), is_true, sides)
+    alike = is_true(gap < 0.001)
+    return rivals.contest(df, alike, alike)
 
 
 def beyond_tolerances(tolerances: Mapping[str, float]) -> Column:
@@ -239,8 +218,7 @@ def beyond_tolerances(tolerances: Mapping[str, float]) -> Column:
 
 def drop_sales_where(df: DataFrame, violated: Column) -> DataFrame:
     """Drop every pair of a sale that has one violating pair."""
-    marked = df.withColumn("sale_violated", F.max(violated).over(Window.partitionBy(SALE)))
-    return marked.filter(not_true(F.col("sale_violated"))).drop("sale_violated")
+    return rivals.without_records(df, is_true(violated), "s")
 
 
 def numeric_matches_post_unique(df: DataFrame, tolerances: Mapping[str, float]) -> DataFrame:

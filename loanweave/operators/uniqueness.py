@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loanweave import schema
 from loanweave.functions.logic import all_of, is_true, within_or_unknown
-from loanweave.operators.pair_filters import PURCHASE, SALE, difference, over_sides, present
+from loanweave.operators import rivals
+from loanweave.operators.pair_filters import difference, over_sides, present
 
 
-def keep_uniques(
-    df: DataFrame,
-    one_to_one: bool = True,
-    secondary: Column | None = None,
-    sides: Sequence[str] = ("p", "s"),
-    ids: Mapping[str, Sequence[str]] | None = None,
-) -> DataFrame:
+def keep_uniques(df: DataFrame, one_to_one: bool = True, secondary: Column | None = None, ids: rivals.Ids = rivals.BY_ID) -> DataFrame:
     """Pairs whose purchase has no other sale and whose sale has no other purchase.
 
     Without ``one_to_one`` a sale may keep two purchases if one that no other
     sale claims is a secondary-market purchase.
     """
-    ids = ids or {"s": [SALE], "p": [PURCHASE]}
-    counted = over_sides(df, {"pairs_of": F.count(F.lit(1))}, sides, ids)
-    single_purchase = F.col("pairs_of_p") == 1
-    if one_to_one:
-        unique = counted.filter(single_purchase & (F.col("pairs_of_s") == 1))
-        return unique.drop("pairs_of_s", "pairs_of_p")
+    return _among(df, unique_pairs(df, one_to_one, secondary, ids), ids)
+
+
+def unique_pairs(
+    df: DataFrame,
+    one_to_one: bool = True,
+    secondary: Column | None = None,
+    ids: rivals.Ids = rivals.BY_ID,
+    counted: Mapping[str, Column] | None = None,
+    carried: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """`keep_uniques` with the ids alone and the facts that are ``carried`` along, so that no row is joined back."""
     if secondary is None:
-        secondary = F.col("purchaser_type_p") > schema.LAST_PRIMARY_PURCHASER_TYPE
-    resold = F.max(single_purchase & is_true(secondary)).over(Window.partitionBy(*ids["s"]))
-    sale_fits = (F.col("pairs_of_s") == 1) | ((F.col("pairs_of_s") == 2) & F.col("resold"))
-    return counted.withColumn("resold", resold).filter(single_purchase & sale_fits).drop(
-        "pairs_of_s", "pairs_of_p", "resold"
-    )
+        secondary = F.lit(False) if one_to_one else F.col("purchaser_type_p") > schema.LAST_PRIMARY_PURCHASER_TYPE
+    columns = [c for side in ids.values() for c in side]
+    counted = counted or {side: F.lit(1) for side in ids}
+    facts = {"is_secondary": is_true(secondary)} | {f"counts_{side}": counts for side, counts in counted.items()} | dict(carried or {})
+    narrow = df.select(*columns, *(fact.alias(name) for name, fact in facts.items()))
+    found = rivals.up_to(1 if one_to_one else 2, narrow, {side: F.col(f"counts_{side}") for side in ids}, F.col("is_secondary"), ids)
+    return found.select(*columns, *(carried or {}))
+
+
+def _among(df: DataFrame, unique: DataFrame, ids: rivals.Ids) -> DataFrame:
+    """The rows of the unique pairs; each has one."""
+    columns = [c for side in ids.values() for c in side]
+    return df.join(unique.withColumnsRenamed({c: f"unique_{c}" for c in columns}), rivals.same_ids(columns, [f"unique_{c}" for c in columns]), "left_semi")
 
 
 def composite_ids(df: DataFrame) -> dict[str, list[str]]:
@@ -52,22 +60,18 @@ def keep_uniques_pre2018(df: DataFrame, one_to_one: bool = True) -> DataFrame:
     Only pairs with a known year are counted, as the year is what is counted.
     """
     ids = composite_ids(df)
-    counts = df
-    for side in ("p", "s"):
-        pairs_of = F.count(F.col(f"activity_year_{side}")).over(Window.partitionBy(*ids[side]))
-        counts = counts.withColumn(f"pairs_of_{side}", pairs_of)
-    single = F.col("pairs_of_p") == 1
-    if one_to_one:
-        return counts.filter(single & (F.col("pairs_of_s") == 1)).drop("pairs_of_s", "pairs_of_p")
-    secondary = is_true(F.col("purchaser_type_p") > schema.LAST_PRIMARY_PURCHASER_TYPE)
-    resold = F.max(single & secondary).over(Window.partitionBy(*ids["s"]))
-    fits = (F.col("pairs_of_s") == 1) | ((F.col("pairs_of_s") == 2) & F.col("resold"))
-    return counts.withColumn("resold", resold).filter(single & fits).drop("pairs_of_s", "pairs_of_p", "resold")
-
-
-def match_cardinality(df: DataFrame, ids: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    return _among(df, unique_pairs_pre2018(df, one_to_one), ids)
+
+
+def unique_pairs_pre2018(df: DataFrame, one_to_one: bool = True, carried: Mapping[str, Column] | None = None) -> DataFrame:
+    """`unique_pairs` on the composite id."""
+    counted = {side: F.col(f"activity_year_{side}") for side in ("s", "p")}
+    return unique_pairs(df, one_to_one, None, composite_ids(df), counted, carried)
+
+
+def match_cardinality(df: DataFrame, ids: rivals.Ids | None = None) -> DataFrame:
     """How many pairs have a sale with so many and a purchase with so many candidates."""
-    counted = over_sides(df, {"count_index": F.count(F.lit(1))}, ("p", "s"), ids)
+    counted = over_sides(df, {"count_index": F.count(F.lit(1))}, ("p", "s"), ids or rivals.BY_ID)
     return counted.groupBy("count_index_s", "count_index_p").agg(F.count(F.lit(1)).alias("pairs"))
 
 

@@ -25,7 +25,7 @@ from loanweave.functions.logic import all_of, is_true, not_true
 from loanweave.operators import candidates, cleaning
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking, LoanLayout
-from loanweave.operators.uniqueness import keep_uniques
+from loanweave.operators.uniqueness import unique_pairs
 from loanweave.session import cut_lineage
 
 SAME_PURPOSE = ("loan_type", "loan_amount", "census_tract", "occupancy_type", "loan_purpose")
@@ -256,25 +256,25 @@ def candidate_facts(
 def settle(spec: Round, pairs: DataFrame, affiliates: DataFrame | None = None) -> DataFrame:
     """Contests, uniqueness and final tests on candidate facts.
 
-    Consecutive steps start with the side they find the pairs laid out by.
+    The facts are written before each contest and read several times.
     """
-    sides = ("s", "p")
     for contest in spec.contests:
+        pairs = cut_lineage(pairs)
         if contest == "closest_rate":
-            pairs = pf.closest(pairs, F.col("rate_gap"), CLOSEST_RATE, sides)
+            pairs = pf.closest(pairs, F.col("rate_gap"), CLOSEST_RATE)
         elif contest == "rate":
-            pairs = pf.rate_dominance(pairs, F.col("rate_gap"), sides)
+            pairs = pf.rate_dominance(pairs, F.col("rate_gap"))
         elif contest == "fees":
-            pairs = pf.fee_dominance(pairs, F.col("fee_matches"), F.col("generous"), sides)
+            pairs = pf.fee_dominance(pairs, F.col("fee_matches"), F.col("generous"))
         elif contest == "income":
-            pairs = pf.income_dominance(pairs, F.col("income_gap"), sides)
-        sides = sides[::-1]
+            pairs = pf.income_dominance(pairs, F.col("income_gap"))
     if spec.tidy:
         pairs = pairs.filter("fees_fit")
     if spec.needs_affiliates:
         pairs = candidates.affiliate_restrict(pairs, affiliates)
-    # Ending on the sale's side serves the sale-wide checks that follow.
-    unique = keep_uniques(pairs, spec.one_to_one, None if spec.one_to_one else F.col("secondary"), ("p", "s"))
+    pairs = cut_lineage(pairs)
+    secondary = None if spec.one_to_one else F.col("secondary")
+    unique = unique_pairs(pairs, spec.one_to_one, secondary, carried={"fits": F.col("fits")})
     links = unique.filter("fits") if spec.one_to_one else pf.drop_sales_where(unique, ~F.col("fits"))
     return links.select("HMDAIndex_s", "HMDAIndex_p")
 

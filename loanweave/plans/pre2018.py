@@ -16,7 +16,8 @@ from loanweave.functions.logic import all_of, is_true, within_or_unknown
 from loanweave.operators import candidates, cleaning
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking
-from loanweave.operators.uniqueness import composite_ids, keep_uniques_pre2018
+from loanweave.operators.uniqueness import composite_ids, unique_pairs_pre2018
+from loanweave.session import cut_lineage
 from loanweave.sources.results import append_crosswalk_pre2018
 
 BIN_KEYS = ("loan_type", "census_tract", "occupancy_type", "loan_purpose", "LoanAmountBin")
@@ -52,8 +53,8 @@ def _pairs(loans: DataFrame, blocking: Blocking) -> DataFrame:
 
 def _links(pairs: DataFrame, fits: Column) -> DataFrame:
     ids = [c for side in composite_ids(pairs).values() for c in side]
-    narrow = pairs.select(*ids, is_true(fits).alias("fits"))
-    return keep_uniques_pre2018(narrow).filter("fits").select(*ids)
+    narrow = cut_lineage(pairs.select(*ids, is_true(fits).alias("fits")))
+    return unique_pairs_pre2018(narrow, carried={"fits": F.col("fits")}).filter("fits").select(*ids)
 
 
 def link_round1(loans: DataFrame, max_block_pairs: int | None = candidates.MAX_BLOCK_PAIRS) -> DataFrame:

@@ -63,12 +63,25 @@ class Inputs:
     def usable(self) -> DataFrame:
         return cleaning.require_keys(self.clean, SAME_PURPOSE, ("", "NA"))
 
-    @property
-    def pairs(self) -> DataFrame:
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is read column by column and several times."""
+
+        def write() -> str:
+            path = scratch_folder(self.spark, name)
+            build().write.parquet(path)
+            return path
+
+        return self.spark.read.parquet(self.shared(f"written {name}", write))
+
+    def joined(self) -> DataFrame:
         """Candidate pairs; the shared keys are given to both sides."""
         joined = candidates.block_join(*candidates.split_sides(self.usable), Blocking(tuple(SAME_PURPOSE)))
         return joined.withColumns({f"{k}_{side}": F.col(k) for k in SAME_PURPOSE for side in ("s", "p")})
 
+    @property
+    def pairs(self) -> DataFrame:
+        return self.written("pairs", self.joined)
+
     @property
     def close_pairs(self) -> DataFrame:
         return pf.numeric_matches(self.pairs, post2018.INCOME_AND_RATE)
@@ -155,8 +168,12 @@ class Inputs:
     @property
     def legacy_pairs(self) -> DataFrame:
         keys = pre2018.EXACT_KEYS
-        joined = candidates.block_join(*candidates.split_sides(self.legacy_usable), Blocking(keys))
-        return joined.withColumns({f"{k}_{side}": F.col(k) for k in keys for side in ("s", "p")})
+
+        def joined() -> DataFrame:
+            pairs = candidates.block_join(*candidates.split_sides(self.legacy_usable), Blocking(keys))
+            return pairs.withColumns({f"{k}_{side}": F.col(k) for k in keys for side in ("s", "p")})
+
+        return self.written("legacy_pairs", joined)
 
     def legacy_crosswalk(self, number: int) -> DataFrame:
         first = self.table("legacy1", lambda: pre2018.crosswalk_round1(self.legacy_prepared))
@@ -436,7 +453,7 @@ def anti_matched_composite(t: Inputs) -> DataFrame:
 
 @query
 def block_join(t: Inputs) -> DataFrame:
-    return _ids(t.pairs)
+    return _ids(t.joined())
 
 
 @query

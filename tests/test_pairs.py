@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loanweave import schema
 from loanweave.functions.logic import within_or_unknown
 from loanweave.operators import pair_filters as pf
-from loanweave.operators import uniqueness
+from loanweave.operators import rivals, uniqueness
 from registry import oracle
 
 BASE = "HMDAIndex_s string, HMDAIndex_p string"
@@ -187,3 +187,31 @@ def test_attrition(table):
     seen = Observation()
     kept = uniqueness.observe_attrition(df, {"rate": within_or_unknown(pf.difference("interest_rate"), 0.1), "known": F.col("interest_rate_s").isNotNull()}, seen)
     assert kept.count() == 1 and seen.get == {"rate": 1, "known": 1}
+
+
+def test_a_sale_with_very_many_rivals(spark):
+    """Contests and uniqueness agree with plain rules where one sale has most pairs, and no task holds its rivals."""
+    n = 20_000
+    rows = [("hot", str(i), 4.0, 4.0 if i == 7 else 4.05) for i in range(n)] + [(f"s{i}", f"q{i % 300}", 4.0, 4.0 + 0.03 * (i % 3)) for i in range(600)]
+    rows += [("lone", "x", 4.0, 4.0), ("pair", "y", 4.0, 4.0), ("pair", "z", 4.0, 4.0)]
+    df = spark.createDataFrame(rows, BASE + ", interest_rate_s double, interest_rate_p double").withColumn("purchaser_type_p", F.lit(8.0)).repartition(8)
+    best = {}
+    for s, p, a, b in rows:
+        for key in (("s", s), ("p", p)):
+            best[key] = min(best.get(key, 9.0), abs(a - b))
+    kept = {(s, p) for s, p, a, b in rows if abs(a - b) <= 0.01 or (best["s", s] > 0 and best["p", p] > 0)}
+    contested = pf.closest(df, F.abs(pf.difference("interest_rate")), 0.01)
+    assert set(map(tuple, contested.select("HMDAIndex_s", "HMDAIndex_p").collect())) == kept
+    unique = uniqueness.keep_uniques(df)
+    sales, purchases = {}, {}
+    for s, p, *_ in rows:
+        sales[s], purchases[p] = sales.get(s, 0) + 1, purchases.get(p, 0) + 1
+    assert ids(unique) == sorted((s, p) for s, p, *_ in rows if sales[s] == 1 and purchases[p] == 1)
+    assert ids(uniqueness.keep_uniques(df, one_to_one=False)) == sorted((s, p) for s, p, *_ in rows if sales[s] <= 2 and purchases[p] == 1)
+    for plan in (contested, unique):
+        assert "Window" not in plan._jdf.queryExecution().toString()
+    # What is joined back to the pairs of one sale is spread over the parts of its other sides.
+    counted = pf.over_sides(df, {"pairs": F.count(F.lit(1))}, ("s",)).filter("HMDAIndex_s = 'hot'")
+    assert counted.select("pairs_s").distinct().collect()[0][0] == n
+    spread = [r["count"] for r in df.filter("HMDAIndex_s = 'hot'").groupBy(F.pmod(F.xxhash64("HMDAIndex_p"), F.lit(rivals.PARTS))).count().collect()]
+    assert len(spread) == rivals.PARTS and max(spread) < 2 * n / rivals.PARTS
