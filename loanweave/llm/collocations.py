@@ -9,21 +9,22 @@ sequence survives. The survivors, as bits of a filter of bounded size, tell a se
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanweave.llm.common import SpanHash, chunks, lowered, mixed, word_spans
+from loanweave.llm.common import BitFilter, SpanHash, bit_filter, chunks, lowered, mixed, word_spans
 from loanweave.session import scratch_folder
 
 THRESHOLD, LONGEST, BEST = 100, 5, 2000
 #: Counters of a task that are handed over together, and occurrences (at most) that one hash partition is made for.
 FLUSH, PARTITION_MASS = 1 << 20, 1 << 25
-#: Bits of the filter: so many for each survivor, between these bounds (at most 32 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 28
+#: Values of a summary in one row; tasks hand each other thousands of rows at once.
+LIST = 256
 #: Parts into which the phrases of a language, and those that share a first or last part, are split.
 SALTS = 16
 
@@ -33,37 +34,6 @@ _WORD[_SPLITS] = False
 _WORD[[9, 32]] = False
 
 
-class Filter:
-    """Bits that all surviving sequences have set; others have them rarely, which costs time alone."""
-
-    def __init__(self, bits: int, words: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - bits)
-        self.data = np.zeros(1 << (bits - 6), np.uint64)
-        self.data[words] = values
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for k in (keys, keys * np.uint64(0x9E3779B97F4A7C15)):
-            place = k >> self.shift
-            found &= (self.data[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-        return found
-
-
-def _filter(survivors: DataFrame) -> Filter:
-    """The filter of a table of keys, its words of 64 bits put together by grouping."""
-    n = survivors.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch["key"].to_numpy().view(np.uint64)
-            at = np.concatenate([k >> np.uint64(64 - bits) for k in (keys, keys * np.uint64(0x9E3779B97F4A7C15))])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "value"])
-
-    words = survivors.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-    return Filter(bits, words["word"].to_numpy(), words["value"].to_numpy().view(np.uint64))
-
-
 class Summary:
     """A Misra-Gries summary: at most ``capacity`` counters, and what has been subtracted from each sequence at most."""
 
@@ -91,6 +61,21 @@ class Summary:
             self.subtracted += beyond
 
 
+def _partitions(spark: SparkSession, mass: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // PARTITION_MASS))
+
+
+def _packed(of: np.ndarray, columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Values in the order of their hash partitions ``of`` as rows of lists."""
+    for a in range(0, len(of), 1 << 18):
+        some = of[a : a + (1 << 18)]
+        first = np.unique(some, return_index=True)[1]
+        first = np.unique(np.concatenate([first, np.arange(0, len(some), LIST)]))
+        bounds = pa.array(np.append(first, len(some)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, c.slice(a, len(some))) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(some[first]), *lists], names=["part", *names])
+
+
 def _seeds(langs: pa.Array) -> np.ndarray:
     """A hash of each row's language."""
     found = np.zeros(len(langs), np.uint64)
@@ -112,7 +97,7 @@ class _Places:
         self.last = np.searchsorted(piece, piece, "right")  # number of the first word after the piece
         self.seeds = seeds
 
-    def sequences(self, known: Filter | None, known_size: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def sequences(self, known: BitFilter | None, known_size: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Size, first word and key of all sequences without a shorter part that ``known`` (up to ``known_size`` words) rules out."""
         keys = mixed(self.words ^ self.seeds[self.text])
         at = np.arange(len(keys))
@@ -126,11 +111,11 @@ class _Places:
             yield size, at, keys
 
 
-def _survivors(docs: DataFrame, known: Filter | None, known_size: int, sizes: range, threshold: int, mass: int, capacity: int | None, folder: str) -> DataFrame:
+def _survivors(docs: DataFrame, known: BitFilter | None, known_size: int, sizes: range, threshold: int, mass: int, capacity: int | None, folder: str) -> DataFrame:
     """``key`` of every sequence of the given sizes that occurs ``threshold`` times or more, and of some others."""
     spark = docs.sparkSession
     sent = None if known is None else spark.sparkContext.broadcast(known)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // PARTITION_MASS))
+    partitions = _partitions(spark, mass)
     room = capacity or 2 * (mass // (threshold * partitions) + 1) + (1 << 12)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +123,9 @@ def _survivors(docs: DataFrame, known: Filter | None, known_size: int, sizes: ra
 
         def handed_over() -> Iterator[pa.RecordBatch]:
             held.settle()
-            for a in range(0, len(held.keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys[a : a + (1 << 16)].view(np.int64)), pa.array(held.counts[a : a + (1 << 16)])], names=["key", "n"])
+            of = (held.keys % np.uint64(partitions)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            yield from _packed(of[order], [pa.array(held.keys[order].view(np.int64)), pa.array(held.counts[order])], ["keys", "counts"])
 
         for batch in batches:
             seeds = _seeds(batch["lang"])
@@ -155,18 +141,20 @@ def _survivors(docs: DataFrame, known: Filter | None, known_size: int, sizes: ra
                         held = Summary(1 << 62)
         yield from handed_over()
 
-    handed = docs.select("lang", "text").mapInArrow(summed, "key long, n long").repartition(partitions, "key")
+    handed = docs.select("lang", "text").mapInArrow(summed, "part long, keys array<long>, counts array<long>").repartition(partitions, "part")
     while True:
 
         def merged(batches: Iterator[pa.RecordBatch], room: int = room) -> Iterator[pa.RecordBatch]:
-            summary = Summary(room)
+            summaries: dict[int, Summary] = {}  # a task may get several hash partitions
             for batch in batches:
-                summary.add(batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy())
-            summary.settle()
-            left = summary.counts + summary.subtracted >= threshold  # the others cannot be frequent
-            keys = pa.array(summary.keys[left].view(np.int64))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.zeros(len(keys), np.int64))], names=["key", "subtracted"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([summary.subtracted], pa.int64())], names=["key", "subtracted"])
+                for row, part in enumerate(batch["part"].to_pylist()):
+                    keys, counts = (batch[x][row].values.to_numpy() for x in ("keys", "counts"))
+                    summaries.setdefault(part, Summary(room)).add(keys.view(np.uint64), counts)
+            for summary in summaries.values():
+                summary.settle()
+                left = summary.counts + summary.subtracted >= threshold  # the others cannot be frequent
+                keys = pa.array(np.append(summary.keys[left].view(np.int64), 0), mask=np.append(np.zeros(left.sum(), bool), True))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), summary.subtracted))], names=["key", "subtracted"])
 
         path = f"{folder}/survivors/{sizes[0]}-{room}"
         handed.mapInArrow(merged, "key long, subtracted long").write.parquet(path)
@@ -179,7 +167,14 @@ def _survivors(docs: DataFrame, known: Filter | None, known_size: int, sizes: ra
     return found.select("key").dropna()
 
 
-def _exact(docs: DataFrame, known: Filter, longest: int, threshold: int, path: str) -> DataFrame:
+KINDS, NAMES = (pa.large_string(), pa.large_string(), pa.int32(), pa.int64()), ["lang", "phrase", "size", "f"]
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(NAMES[:3]).aggregate([("f", "sum")]).rename_columns(NAMES)
+
+
+def _exact(docs: DataFrame, known: BitFilter, longest: int, threshold: int, partitions: int, path: str) -> DataFrame:
     """``lang, phrase, size, f`` of the sequences that are frequent, counted over all texts; size 0 is a language's number of words."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -189,10 +184,12 @@ def _exact(docs: DataFrame, known: Filter, longest: int, threshold: int, path: s
         words: dict[str, int] = {}
 
         def handed_over() -> Iterator[pa.RecordBatch]:
-            rows = [*((lang, "", 0, n) for lang, n in words.items()), *held.values()]
-            for a in range(0, len(rows), 1 << 14):
-                columns = zip(*rows[a : a + (1 << 14)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.large_string(), pa.large_string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "n"])
+            rows = [*((zlib.crc32(lang.encode()), lang, "", 0, n) for lang, n in words.items()), *((key, *row) for key, row in held.items())]
+            rows = sorted((key % partitions, *row) for key, *row in rows)
+            if rows:
+                of, *columns = zip(*rows, strict=True)
+                columns = [pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)]
+                yield from _packed(np.array(of, np.int64), columns, ["langs", "phrases", "sizes", "counts"])
             held.clear()
             words.clear()
 
@@ -218,8 +215,18 @@ def _exact(docs: DataFrame, known: Filter, longest: int, threshold: int, path: s
                     yield from handed_over()
         yield from handed_over()
 
-    rows = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, size int, n long")
-    counts = rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        for batch in batches:
+            columns = [batch[x].flatten() for x in ("langs", "phrases", "sizes", "counts")]
+            waiting.append(pa.table([c.cast(t) for c, t in zip(columns, KINDS, strict=True)], names=NAMES))
+            if sum(map(len, waiting)) >= FLUSH and len(waiting) > 1:
+                waiting = [_summed(waiting)]
+        if waiting:
+            yield from _summed(waiting).to_batches(max_chunksize=1 << 16)
+
+    rows = docs.select("lang", "text").mapInArrow(count, "part long, langs array<string>, phrases array<string>, sizes array<int>, counts array<long>")
+    counts = rows.repartition(partitions, "part").mapInArrow(added, "lang string, phrase string, size int, f long")
     counts.filter((F.col("f") >= threshold) | (F.col("size") == 0)).write.parquet(path)
     sent.destroy()
     return docs.sparkSession.read.parquet(path)
@@ -282,8 +289,8 @@ def mine(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, be
         if len(sizes):
             more = _survivors(docs, known, sizes[0] - 1, sizes, threshold, len(sizes) * mass, capacity, folder)
             survivors = more if survivors is None else survivors.unionByName(more)
-            known = _filter(survivors)
-    found = _exact(docs, known, longest, threshold, f"{folder}/counts")
+            known = bit_filter(survivors)
+    found = _exact(docs, known, longest, threshold, _partitions(spark, mass), f"{folder}/counts")
     chosen = _cuts(found).join(_inner(found), ["lang", "phrase"], "left").filter(F.coalesce(F.col("longer"), F.lit(0)) < F.col("a"))
     return _best(chosen, best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
