@@ -58,15 +58,18 @@ def simhashes(column: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndar
     return found
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fingerprint`` (signed long) of each row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, more: list[Column] | None = None) -> DataFrame:
+    """``doc_id, fingerprint`` (signed long) of each row, and what ``more`` asks for."""
+    rows = docs.select("doc_id", "text", *(more or []))
+    others = [c for c in rows.columns if c != "text"]
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            prints = pa.array(simhashes(rows["text"], words, seed).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], prints], names=["doc_id", "fingerprint"])
+        for some in batches:
+            prints = pa.array(simhashes(some["text"], words, seed).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(some[c] for c in others), prints], names=[*others, "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(batch, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint long")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(batch, ", ".join([*(f"{c} {kinds[c]}" for c in others), "fingerprint long"]))
 
 
 def _byte(value: Column, position: int) -> Column:
@@ -132,25 +135,30 @@ def links(prints: DataFrame, long_list: int = 1024) -> DataFrame:
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = _filed(prints.repartition(tasks, "fingerprint"))  # the points are few bytes but 70 lists each
     filed = filed.repartition(tasks, "key")  # moved once: counted and joined where they lie; lists of one end here
-    counts = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = filed.groupBy("key").agg(F.count("fingerprint").alias("n")).filter("n > 1")  # of the column, so that both read one exchange
     members = saved(filed.join(counts.hint("merge"), "key"))
     found = _close_pairs(members.filter(F.col("n") <= long_list))
     crowded = members.filter(F.col("n") > long_list).select("fingerprint").distinct()
     return saved(found.unionByName(_through_midpoints(crowded)))
 
 
+def _rooted(prints: DataFrame, long_list: int, **facts: Column) -> DataFrame:
+    """Each distinct fingerprint with its component's ``root``, its number of rows (``times``) and aggregates over its rows."""
+    points = saved(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("times"), *(fact.alias(name) for name, fact in facts.items())))
+    stars = connected(links(points.select("fingerprint"), long_list))
+    rooted = points.join(stars.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return saved(rooted.select("fingerprint", "times", *facts, F.coalesce("root", "fingerprint").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, long_list: int = 1024) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row: 16 hexadecimal digits, and the smallest id that links lead to.
 
     Null and wordless texts have fingerprint zero and link like others. Equal fingerprints are one point of the graph, so copies
     make no pairs. Null ids take part but are nobody's smallest id; without any other the component is null. Rows that repeat
-    stay. Other columns are ignored; an empty table gives no rows.
+    stay. Very long texts are read whole, one at a time. Other columns are ignored; an empty table gives no rows.
     """
     prints = saved(fingerprints(docs))
-    points = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")))
-    stars = connected(links(points.select("fingerprint"), long_list))
-    rooted = points.join(stars.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    rooted = saved(rooted.select("fingerprint", "least", "times", F.coalesce("root", "fingerprint").alias("root")))
+    rooted = _rooted(prints, long_list, least=F.min("doc_id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"), F.sum("times").alias("docs"))
     smallest = saved(smallest)
     total = smallest.agg(F.sum("members").alias("points"), F.sum("docs").alias("docs")).first()
@@ -159,8 +167,15 @@ def near_duplicates(docs: DataFrame, long_list: int = 1024) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share it, one. Rows without an id all stay."""
-    keep = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+def without_copies(docs: DataFrame, long_list: int = 1024) -> DataFrame:
+    """One document of each component: the one with the smallest id, of several under that id the one with the smallest hash of its text.
+
+    Rows without an id come after all others and stay only where their component has no row with one. A row that repeats stays once.
+    """
+    names = [F.xxhash64(F.lit(seed), "doc_id", "text").alias(name) for seed, name in ((1, "row_name"), (2, "row_check"))]
+    named = docs.select("*", *names)
+    prints = saved(fingerprints(docs, more=names))
+    rooted = _rooted(prints, long_list, best=F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_name", "row_check")))
+    keep = rooted.groupBy("root").agg(F.min("best").alias("best")).select(*(F.col(f"best.{c}").alias(f"kept_{c}") for c in ("row_name", "row_check")))
+    same = (F.col("row_name") == F.col("kept_row_name")) & (F.col("row_check") == F.col("kept_row_check"))
+    return named.join(keep, same, "left_semi").dropDuplicates(["row_name", "row_check"]).select(*docs.columns)

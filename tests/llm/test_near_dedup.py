@@ -62,13 +62,29 @@ def test_against_all_pairs(spark, long_list):
 
 
 def test_one_of_each_stays(spark):
-    docs = with_clashing(documents(spark, corpus()))
+    """One row of each component; rows that share an id but not a text are apart, rows without an id come last."""
+    rows = [*corpus(), (3, "another text under one id with some more words"), (None, "no id here at all but words"), (None, "no id here at all but words"), (None, corpus()[0][1])]
+    docs = with_clashing(documents(spark, rows))
     kept = near_dedup.without_copies(docs)
     assert kept.columns == docs.columns
-    found = rows_of(kept.select("doc_id"))
-    named = [(i, t) for i, t in corpus() if i is not None]
-    groups = components([(i, fingerprint(t)) for i, t in named])
-    assert found == sorted([(c,) for c in set(groups)] + [(None,)] * 2, key=repr)
+    found = [tuple(r) for r in kept.select("doc_id", "text").collect()]
+    place = {g: [] for g in range(len(rows))}
+    groups = components([(n, fingerprint(t)) for n, (_, t) in enumerate(rows)])
+    for n, g in enumerate(groups):
+        place[g].append(rows[n])
+    wanted = [g for g in place.values() if g]
+    assert len(found) == len(wanted)
+    for members in wanted:
+        (row,) = [r for r in found if r in members]
+        ids = [i for i, _ in members if i is not None]
+        assert row[0] == (min(ids) if ids else None)
+
+
+def test_very_many_wordless_texts(spark):
+    docs = documents(spark, ["", None, " \n"] * 2000 + [prose(i, 40) for i in range(50)])
+    found = near_dedup.near_duplicates(docs).collect()
+    assert len(found) == 6050 and {r["component_id"] for r in found if r["fingerprint"] == "0" * 16} == {0}
+    assert near_dedup.without_copies(docs).count() == len({r["component_id"] for r in found})
 
 
 def test_empty(spark):
