@@ -59,8 +59,11 @@ def source_targets(sources: DataFrame, share: float = 1.5, weights: tuple[float,
 
 
 def _settle(rows: pa.Table) -> pa.Table:
-    """Exchanges mass between the fractional documents of one group until at most one is fractional."""
-    rows = rows.sort_by([("row", "ascending"), ("size", "ascending")])
+    """Exchanges mass between the fractional documents of one group until at most one is fractional.
+
+    Large documents meet first, so that what stays open at last is small more often.
+    """
+    rows = rows.sort_by([("size", "descending"), ("row", "ascending"), ("doc_id", "ascending")])
     chance, size = rows["chance"].to_numpy().copy(), rows["size"].to_numpy().astype(float)
     draws = np.random.default_rng(rows["dice"][0].as_py() & (2**63 - 1)).random(len(rows) + 1)
     held = None
@@ -105,8 +108,9 @@ def mix_to_weights(docs: DataFrame, share: float = 1.5, weights: tuple[float, ..
     units = units.withColumn("leaf", F.shiftrightunsigned(F.col("row"), 1) % F.expr("shiftleft(1L, bits)"))
     units = units.select("doc_id", "source", "size", "source_size", "target", "row", "bits", "whole", "chance", "leaf")
     deepest = sources.agg(F.max("n").alias("n")).first()["n"] or 0
-    open_rows, closed = units, []
     fractional = (F.col("chance") > 0) & (F.col("chance") < 1)
+    units = saved(units)
+    open_rows, closed = units.filter(fractional), [units.filter(~fractional)]  # empty documents and whole rates have nothing to exchange
     levels = max(0, int(np.ceil(np.ceil(np.log2(max(deepest, 1) / LEAF_ROWS)) / FAN_IN_BITS))) + 1
     schema = f"{', '.join(f'{c} {t}' for c, t in units.dtypes)}"
     for level in range(levels):
