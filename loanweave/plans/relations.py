@@ -16,17 +16,23 @@ LINK_KEYS = ("HMDAIndex_s", "HMDAIndex_p", "match_round")
 RELATIONSHIP_SHARES = ((0.001, 0.001), (0.005, 0.0005), (0.0005, 0.005), (0.0001, 0.01), (0.01, 0.0001))
 
 
+# The register fields that relationships are read from.
+RELATION_COLUMNS = ("HMDAIndex", "lei", "activity_year", "purchaser_type")
+
+
 def matched_loans(loans: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """All register fields of both records of every link, in name order."""
+    """All register fields of both records of every link, in name order.
+
+    Each side is reduced to its linked records, by the links alone, before
+    its fields move; a record of many links goes with each of them.
+    """
     links = crosswalk.select(*LINK_KEYS)
 
     def records(action: int, side: str) -> DataFrame:
-        chosen = loans.filter(F.col("action_taken") == action)
-        return suffix_columns(chosen, f"_{side}")
+        chosen = suffix_columns(loans.filter(F.col("action_taken") == action), f"_{side}")
+        return chosen.join(links, f"HMDAIndex_{side}")
 
-    both = links.join(records(schema.ORIGINATED, "s"), "HMDAIndex_s").join(
-        records(schema.PURCHASED, "p"), "HMDAIndex_p"
-    )
+    both = records(schema.ORIGINATED, "s").join(records(schema.PURCHASED, "p"), list(LINK_KEYS))
     return both.select(*LINK_KEYS, *sorted(c for c in both.columns if c not in LINK_KEYS))
 
 
@@ -37,8 +43,8 @@ def single_sale_links(matched: DataFrame, strict: bool = False) -> DataFrame:
     sale has one type, so links of a sale are kept or dropped together and the
     second count decides as the first would.
     """
-    counted = matched.withColumn("sale_links", F.count(F.lit(1)).over(Window.partitionBy("HMDAIndex_s")))
-    return counted.filter("sale_links = 1").drop("sale_links")
+    single = matched.groupBy("HMDAIndex_s").agg(F.count(F.lit(1)).alias("sale_links"), F.any_value(F.struct(*matched.columns)).alias("link"))
+    return single.filter("sale_links = 1").select("link.*")
 
 
 def _type_counts(matched: DataFrame, strict: bool) -> DataFrame:
@@ -48,7 +54,7 @@ def _type_counts(matched: DataFrame, strict: bool) -> DataFrame:
     sums move only aggregated rows.
     """
     lenders = ["lei_s", "lei_p", "activity_year_s"]
-    known = single_sale_links(matched, strict).filter(not_true(F.col("purchaser_type_s") == 0))
+    known = single_sale_links(matched.select("HMDAIndex_s", *lenders, "purchaser_type_s"), strict).filter(not_true(F.col("purchaser_type_s") == 0))
     typed = known.groupBy(*lenders, "purchaser_type_s").agg(F.count("activity_year_s").alias("CountLEIPurchaserTypeMatches"))
     total = F.sum("CountLEIPurchaserTypeMatches").over(Window.partitionBy(*lenders))
     return typed.withColumn("CountLEIMatches", total).dropna(subset=[*lenders, "purchaser_type_s"])
@@ -92,7 +98,7 @@ def typed_relationships(
 def large_relationships(matched: DataFrame, strict: bool = False, min_links: int = 1000) -> DataFrame:
     """Pairs of large lenders that share more than a negligible part of their links."""
     pairs = (
-        single_sale_links(matched, strict)
+        single_sale_links(matched.select("HMDAIndex_s", "lei_s", "lei_p"), strict)
         .groupBy("lei_s", "lei_p")
         .agg(F.count(F.lit(1)).alias("CountMatches"))
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanweave.functions.logic import all_of
 from loanweave.session import cut_lineage
 
 METRICS = (
@@ -16,11 +17,19 @@ METRICS = (
 
 
 def best_link(links: DataFrame, seller: str, purchaser: str, score: str) -> DataFrame:
-    """The best-scored link per seller; ties go to the lower purchase id."""
-    order = [F.col(score).desc_nulls_last()]
-    order += [F.col(purchaser).asc()] if purchaser in links.columns else []
-    ranked = links.withColumn("link_rank", F.row_number().over(Window.partitionBy(seller).orderBy(*order)))
-    return ranked.filter("link_rank = 1").drop("link_rank")
+    """The best-scored link per seller; ties go to the lower purchase id.
+
+    The best row is merged from partial results; the links of a seller are
+    neither gathered nor sorted.
+    """
+    value = F.col(score)
+    floats = dict(links.dtypes)[score] in ("double", "float")
+    # Least first: scored, not-a-number as the highest score, the higher score, the lower id.
+    order = [value.isNull(), ~F.isnan(value) if floats else F.lit(True), F.negate(value)]
+    order += [F.col(purchaser)] if purchaser in links.columns else []
+    others = [c for c in links.columns if c != seller]
+    best = links.groupBy(seller).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("best"))
+    return best.select(*[F.col(c) if c == seller else F.col(f"best.{c}").alias(c) for c in links.columns])
 
 
 def unique_links(matches: DataFrame, keep_top_purchase: bool = True, score_col: str | None = "match_score") -> DataFrame:
@@ -83,28 +92,58 @@ def enriched_links(links: DataFrame, originations: DataFrame, purchases: DataFra
     return purchase_attributes(with_origination, purchases)
 
 
+def _marked(base: DataFrame, links: DataFrame, key: str, groups: Sequence[str]) -> DataFrame:
+    """The keys of the base with their groups and whether a link uses them; a key names one record."""
+    used = links.select(F.col(key).alias("used_key")).dropDuplicates()
+    marked = base.select(key, *groups).join(used, F.col(key) == F.col("used_key"), "left")
+    return marked.select(*groups, F.col("used_key").isNotNull().alias("is_matched"))
+
+
+def rates_by_sets(marked: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Rates for several sets of groups from one pass, told apart by ``set_number``.
+
+    A group with a missing part counts its records but no matches, as such
+    parts equal nothing.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rows = marked.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping_id(*columns).alias("set_id"), F.count(F.lit(1)).alias("N_total"), F.count_if("is_matched").alias("N_matched")
+    )
+    ids = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s): n for n, s in enumerate(sets)}
+    number = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])[F.col("set_id").cast("int")]
+    rows = rows.withColumn("set_number", number)
+    known = F.lit(False)
+    for n, s in enumerate(sets):
+        known = known | ((F.col("set_number") == n) & all_of(F.col(c).isNotNull() for c in s))
+    rows = rows.withColumn("N_matched", F.when(known, F.col("N_matched")).otherwise(F.lit(0).cast("long")))
+    return rows.withColumn("match_rate", F.col("N_matched") / F.col("N_total")).drop("set_id")
+
+
 def global_match_rates(
     originations: DataFrame, purchases: DataFrame, matches: DataFrame, keep_top_purchase: bool = True
 ) -> dict[str, DataFrame | None]:
     """Match rates overall and by year, lender, loan type and purchaser type.
 
-    Groups by year use the origination's year. The links with the attributes
-    to group by are written once; the tables are lazy aggregates of them.
+    Groups by year use the origination's year. One pass over the originations,
+    marked with their links, gives the groups of all tables; it is written
+    once, and the tables are read from it. An id names one record.
     """
-    links = cut_lineage(enriched_links(unique_links(matches, keep_top_purchase), originations, purchases))
-    sold = links.withColumnRenamed("orig_activity_year", "activity_year")
+    links = cut_lineage(unique_links(matches, keep_top_purchase).select("origination_id", "purchase_id"))
+    sets = [["activity_year"], ["lei"], ["loan_type"], ["activity_year", "lei"]]
+    rates = cut_lineage(rates_by_sets(_marked(originations, links, "origination_id", ["activity_year", "lei", "loan_type"]), sets))
 
-    def by(*groups: str) -> DataFrame:
-        return match_rate_by(groups, originations, sold, "origination_id")
+    def by(number: int) -> DataFrame:
+        return rates.filter(F.col("set_number") == number).select(*sets[number], "N_total", "N_matched", "match_rate")
 
     by_type = None
     if "purchaser_type" in purchases.columns:
-        by_type = match_rate_by(["purchaser_type"], purchases, links, "purchase_id").orderBy(F.desc("N_total"))
+        types = rates_by_sets(_marked(purchases, links, "purchase_id", ["purchaser_type"]), [["purchaser_type"]])
+        by_type = types.drop("set_number").orderBy(F.desc("N_total"))
     return {
         "overall": overall_match_rates(originations, purchases, links),
-        "by_year": by("activity_year").orderBy("activity_year"),
-        "by_lei": by("lei").orderBy(F.desc("N_total")),
-        "by_loan_type": by("loan_type").orderBy(F.desc("N_total")),
+        "by_year": by(0).orderBy("activity_year"),
+        "by_lei": by(1).orderBy(F.desc("N_total")),
+        "by_loan_type": by(2).orderBy(F.desc("N_total")),
         "by_purchaser_type": by_type,
-        "by_year_lei": by("activity_year", "lei").orderBy("activity_year", F.desc("N_total")),
+        "by_year_lei": by(3).orderBy("activity_year", F.desc("N_total")),
     }

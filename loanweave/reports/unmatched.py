@@ -79,15 +79,16 @@ def _same(a: DataFrame, b: DataFrame, groups: Sequence[str], how: str) -> DataFr
     return a.join(renamed, same, how)
 
 
-def unmatched_overall(unmatched: DataFrame, numeric_cols: Sequence[str] = ("loan_amount",)) -> DataFrame:
-    """Count, and mean and exact median per numeric column, in long form."""
+def unmatched_overall(unmatched: DataFrame, numeric_cols: Sequence[str] = ("loan_amount",), medians: DataFrame | None = None) -> DataFrame:
+    """Count, and mean and exact median per numeric column, in long form; ``medians`` if they are known."""
     total = unmatched.agg(F.lit("N_unmatched").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
     columns = _present(unmatched, numeric_cols)
     if not columns:
         return total
     values = _long(unmatched, columns)
     means = values.groupBy("variable").agg(F.avg("value").alias("value"))
-    medians = _same(means.select("variable"), exact_median(values, ["variable"], "value"), ["variable"], "left")
+    found = exact_median(values, ["variable"], "value") if medians is None else medians
+    medians = _same(means.select("variable"), found, ["variable"], "left")
 
     def named(df: DataFrame, ending: str, value: str) -> DataFrame:
         return df.select(F.concat("variable", F.lit(ending)).alias("metric"), F.col(value).alias("value"))
@@ -99,10 +100,11 @@ def unmatched_by_year(unmatched: DataFrame, numeric_cols: Sequence[str] = ("loan
     columns = _present(unmatched, numeric_cols)
     means = [F.avg(_as_number(unmatched, c)).alias(f"{c}_mean") for c in columns]
     result = unmatched.groupBy("activity_year").agg(F.count(F.lit(1)).alias("N_unmatched"), *means)
-    for column in columns:
-        values = unmatched.select("activity_year", _as_number(unmatched, column).alias("value"))
-        medians = exact_median(values, ["activity_year"], "value").withColumnRenamed("median", f"{column}_median")
-        result = _same(result, medians, ["activity_year"], "left").drop("other_activity_year")
+    if columns:
+        values = _long(unmatched, columns, ["activity_year"])  # the medians of all columns together
+        medians = exact_median(values, ["activity_year", "variable"], "value")
+        wide = [F.max(F.when(F.col("variable") == c, F.col("median"))).alias(f"{c}_median") for c in columns]
+        result = _same(result, medians.groupBy("activity_year").agg(*wide), ["activity_year"], "left").drop("other_activity_year")
     return result.orderBy("activity_year")
 
 
@@ -117,17 +119,19 @@ def unmatched_mix(unmatched: DataFrame, column: str) -> DataFrame:
     return mix(unmatched, column).orderBy(F.desc("N"))
 
 
-def _moments(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
+def _moments(df: DataFrame, columns: Sequence[str], side: str, medians: DataFrame | None) -> DataFrame:
     values = _long(df, columns)
     moments = values.groupBy("variable").agg(
         F.avg("value").alias(f"{side}_mean"), F.var_samp("value").alias(f"{side}_variance")
     )
-    medians = exact_median(values, ["variable"], "value").withColumnRenamed("median", f"{side}_median")
-    return _same(moments, medians, ["variable"], "left").drop("other_variable")
+    medians = exact_median(values, ["variable"], "value") if medians is None else medians
+    return _same(moments, medians.withColumnRenamed("median", f"{side}_median"), ["variable"], "left").drop("other_variable")
 
 
-def compare_numeric(matched: DataFrame, unmatched: DataFrame, numeric_cols: Sequence[str] = ("loan_amount",)) -> DataFrame | None:
-    """Mean, median and standardised mean difference of matched against unmatched.
+def compare_numeric(
+    matched: DataFrame, unmatched: DataFrame, numeric_cols: Sequence[str] = ("loan_amount",), medians: Sequence[DataFrame] | None = None
+) -> DataFrame | None:
+    """Mean, median and standardised mean difference of matched against unmatched; ``medians`` of both if they are known.
 
     The difference is null if a side has fewer than two values or neither varies.
     """
@@ -135,8 +139,8 @@ def compare_numeric(matched: DataFrame, unmatched: DataFrame, numeric_cols: Sequ
     if not columns:
         return None
     table = matched.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("variable"))
-    for side, df in (("matched", matched), ("unmatched", unmatched)):
-        table = _same(table, _moments(df, columns, side), ["variable"], "left").drop("other_variable")
+    for number, (side, df) in enumerate((("matched", matched), ("unmatched", unmatched))):
+        table = _same(table, _moments(df, columns, side, medians and medians[number]), ["variable"], "left").drop("other_variable")
     pooled = F.sqrt((F.col("matched_variance") + F.col("unmatched_variance")) / 2)
     return table.select(
         "variable", "matched_mean", "unmatched_mean", "matched_median", "unmatched_median",
@@ -168,12 +172,17 @@ def profile_unmatched_originations(
     numeric = list(numeric_cols or ["loan_amount"])
     marked = cut_lineage(marked_originations(originations, unique_matches(matches), numeric))
     matched, unmatched = marked.filter("is_linked"), marked.filter("NOT is_linked")
+    medians = None
+    if _present(marked, numeric):  # of both sides and all columns together, once for two tables
+        values = _long(marked, _present(marked, numeric), ["is_linked"])
+        found = cut_lineage(exact_median(values, ["is_linked", "variable"], "value"))
+        medians = [found.filter(F.col("is_linked") == side).drop("is_linked") for side in (True, False)]
     return {
-        "summary_unmatched_overall": unmatched_overall(unmatched, numeric),
+        "summary_unmatched_overall": unmatched_overall(unmatched, numeric, medians and medians[1]),
         "summary_unmatched_by_year": unmatched_by_year(unmatched, numeric),
         "dist_product_unmatched": unmatched_mix(unmatched, "product"),
         "dist_rural_unmatched": unmatched_mix(unmatched, "is_rural_county"),
-        "compare_numeric_matched_vs_unmatched": compare_numeric(matched, unmatched, numeric),
+        "compare_numeric_matched_vs_unmatched": compare_numeric(matched, unmatched, numeric, medians),
         "compare_mix_product": compare_mix(matched, unmatched, "product"),
         "compare_mix_rural": compare_mix(matched, unmatched, "is_rural_county"),
         "unmatched_originations": unmatched.select(_present(unmatched, ORIGINATION_COLUMNS)),

@@ -121,3 +121,12 @@ def test_relationships(table):
     assert relations.affiliates(df, names).count() == 0
     assert ids(relations.large_relationships(df, min_links=21), "lei_s", "lei_p") == [("A", "B")]
     assert relations.large_relationships(df, min_links=22).count() == 0
+
+
+@pytest.mark.parametrize(("accuracy", "margin", "ordered"), [(10, 0.0, 1), (7, 0.0, 50), (100, None, 5), (10_000, None, 1)])
+def test_median_when_the_first_bracket_misses(spark, accuracy, margin, ordered):
+    """A coarse sketch without a margin brackets other values than the middle ones; exact counts show it, and the rest is bracketed again."""
+    df = spark.range(4000).selectExpr("CAST(id % 3 AS INT) AS g", "CAST(pow(id * 7919 % 4001, 2) AS DOUBLE) AS v").unionByName(spark.range(50).selectExpr("CAST(NULL AS INT) AS g", "5.0 AS v"))
+    wanted = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    found = exact_median(df, ["g"], "v", accuracy, margin, ordered)
+    assert {r.g: r.median for r in found.collect()} == wanted
