@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query has ended; what it found must have been written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def emptied(spark: SparkSession, path: str) -> None:
     """Frees the space of a table of our own that is read no more."""
     spark.range(0).write.mode("overwrite").parquet(path)
@@ -169,6 +182,7 @@ class BitFilter:
 
 def bit_filter(rows: DataFrame) -> BitFilter:
     """The filter of a table's ``key``, its words of 64 bits put together by grouping; at most 32 MB however many keys there are."""
+    spark = rows.sparkSession
     n = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
 
@@ -178,5 +192,6 @@ def bit_filter(rows: DataFrame) -> BitFilter:
             at = np.concatenate([k >> np.uint64(64 - bits) for k in (keys, keys * np.uint64(0x9E3779B97F4A7C15))])
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "value"])
 
-    words = rows.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    with shuffles_removed(spark):
+        words = rows.select("key").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     return BitFilter(bits, words["word"].to_numpy(), words["value"].to_numpy().view(np.uint64))
