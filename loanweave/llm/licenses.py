@@ -1,6 +1,8 @@
 """License scans: license phrases, and an exact set-similarity join of text blocks with license templates, with DataFrame functions only.
 
-A block is a line. It matches a template if it has at least 0.8 of the template's distinct words. Template words are ordered by
+A text is cut into overlapping blocks of words, across its lines: for templates of up to 8, 16 or 32 words (and so on) blocks of twice that number begin every so
+many words, so that each run of words as long as the template lies in one. A block matches a template if it has at least 0.8 of the template's distinct
+words and all those that tell it from its neighbours; of the templates that a block matches, the one that fits best counts (by containment, then by its number of words). Template words are ordered by
 how often they occur in all texts, rarest first. Of a template with n words of which m must be present, any match has one of
 the first n - m + 1 (prefix filter), a block needs m template words at all (length filter), and the places of a common word in the
 template and in the block limit how many can follow (positional filter); what is left is compared word by word.
@@ -37,6 +39,8 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without prior written permission"),
 ]
+# Words that a label needs, as they tell it from licenses whose notices are otherwise alike.
+NEEDED = {"agpl-3.0": ["affero"], "lgpl-2.1": ["lesser"], "gpl-3.0": ["gnu", "3"], "gpl-2.0": ["gnu", "2"], "cc-by-sa-4.0": ["sharealike"], "cc-by-nc-4.0": ["nc"], "apache-2.0": [], "mit": []}
 #: What stands between words: all of ASCII but letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,41 +54,74 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, BETWEEN), "")
 
 
+def _reach(notice: str) -> int:
+    """Words after which the next block for a template begins: a power of two, 8 at least."""
+    return max(8, 1 << (len(notice.split()) - 1).bit_length())
+
+
+def _needed(label: str, notice: str) -> list[str]:
+    return sorted(set(NEEDED.get(label, [])) & set(notice.split()))
+
+
 def _templates(spark, templates: list[tuple[str, str]], threshold: float, ranks: dict[str, int]) -> DataFrame:
     """A row for each word of a template's prefix: its place, how many template words there are and how many are needed."""
     rows = []
     for number, (label, notice) in enumerate(templates):
         words = sorted(set(notice.split()), key=lambda w: (ranks.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
-        rows += [(w, number, label, place, len(words), need, words) for place, w in enumerate(words[: len(words) - need + 1])]
-    return spark.createDataFrame(rows, "word string, template int, label string, place int, total int, need int, words array<string>")
+        rows += [(w, number, label, place, len(words), need, words, _reach(notice), _needed(label, notice)) for place, w in enumerate(words[: len(words) - need + 1])]
+    return spark.createDataFrame(rows, "word string, template int, label string, place int, total int, need int, words array<string>, reach int, needed array<string>")
+
 
+def _blocks(texts: DataFrame, vocabularies: dict[int, list[str]], least: dict[int, int]) -> DataFrame:
+    """``text_key, text_bytes, block_reach, block, own``: blocks with enough template words, which ``own`` holds once each, in the vocabulary's order."""
 
-def _blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """``text_key, text_bytes, block, own``: lines with at least ``least`` template words, which ``own`` holds once each, in the vocabulary's order."""
-    text = docs.select(F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), F.posexplode(F.split(_lower(F.col("text")), "\n")).alias("block", "line"))
-    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), _words(F.col("line")))
-    return text.select("text_key", "text_bytes", "block", own.alias("own")).filter(F.size("own") >= least)
+    def of(reach: int, vocabulary: list[str]) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("words") / reach).cast("int") - 2))
+        known = F.array(*map(F.lit, vocabulary))
+        blocks = F.transform(starts, lambda k: F.struct(F.lit(reach).alias("block_reach"), k.alias("block"), F.array_intersect(known, F.slice("words", k * reach + 1, F.lit(2 * reach))).alias("own")))
+        return F.filter(blocks, lambda b: F.size(b["own"]) >= least[reach])
+
+    return texts.select("text_key", "text_bytes", F.inline(F.flatten(F.array(*(of(*kind) for kind in vocabularies.items())))))
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``text_key, text_bytes, block, label, containment`` of each line of each distinct text that meets a template's threshold."""
+    """``text_key, text_bytes, block_reach, block, label, containment, total`` of each block of each distinct text that meets a template's threshold;
+    ``total`` is the number of the template's words."""
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
-    needs = [max(1, math.ceil(threshold * len(set(n.split())) - 1e-9)) for _, n in templates]
-    counted = docs.select(F.explode(_words(_lower(F.col("text")))).alias("word")).filter(F.col("word").isin(vocabulary)).groupBy("word").count()
+    words = {w for _, notice in templates for w in notice.split()}
+    counted = docs.select(F.explode(_words(_lower(F.col("text")))).alias("word")).filter(F.col("word").isin(sorted(words))).groupBy("word").count()
     ranks = {r["word"]: r["count"] for r in counted.collect()}  # as many rows as the templates have words
     prefix = _templates(docs.sparkSession, templates, threshold, ranks)
     rare = sorted({r["word"] for r in prefix.select("word").collect()})
-    maybe = docs.filter(F.arrays_overlap(_words(_lower(F.col("text"))), F.array(*map(F.lit, rare))))
-    blocks = _blocks(maybe, sorted(vocabulary, key=lambda w: (ranks.get(w, 0), w)), min(needs))
-    words = blocks.withColumn("n_own", F.size("own")).select("*", F.posexplode("own").alias("own_place", "word"))
+    vocabularies: dict[int, set[str]] = {}
+    least: dict[int, int] = {}
+    for _, notice in templates:
+        own = set(notice.split())
+        vocabularies.setdefault(_reach(notice), set()).update(own)
+        least[_reach(notice)] = min(least.get(_reach(notice), len(own)), max(1, math.ceil(threshold * len(own) - 1e-9)))
+    texts = docs.select(F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), _words(_lower(F.col("text"))).alias("words"))
+    maybe = texts.filter(F.arrays_overlap("words", F.array(*map(F.lit, rare))))
+    blocks = _blocks(maybe, {r: sorted(v, key=lambda w: (ranks.get(w, 0), w)) for r, v in sorted(vocabularies.items())}, least)
+    found = blocks.withColumn("n_own", F.size("own")).select("*", F.posexplode("own").alias("own_place", "word"))
     # After the first common word, no more can be common than follow it on either side; a later one's row may go, the first one's stays.
     rest = F.least(F.col("total") - F.col("place"), F.col("n_own") - F.col("own_place"))
-    found = words.join(F.broadcast(prefix), "word").filter((F.col("n_own") >= F.col("need")) & (rest >= F.col("need")))
+    prefix = prefix.withColumnsRenamed({"word": "prefix_word"})
+    found = found.join(F.broadcast(prefix), (F.col("word") == F.col("prefix_word")) & (F.col("block_reach") == F.col("reach")) & (F.col("n_own") >= F.col("need")) & (rest >= F.col("need")))
     shared = F.size(F.array_intersect("own", "words"))
-    found = found.filter(shared >= F.col("need")).select("text_key", "text_bytes", "block", "label", (shared / F.col("total")).alias("containment"))
-    return found.groupBy("text_key", "text_bytes", "block", "label").agg(F.max("containment").alias("containment"))
+    whole = F.size(F.array_except("needed", "own")) == 0
+    found = found.filter((shared >= F.col("need")) & whole).select("text_key", "text_bytes", "block_reach", "block", "label", (shared / F.col("total")).alias("containment"), "total")
+    return found.groupBy("text_key", "text_bytes", "block_reach", "block", "label").agg(F.max(F.struct("containment", "total")).alias("fit")).select("text_key", "text_bytes", "block_reach", "block", "label", "fit.*")
+
+
+def _best_labels(matches: DataFrame) -> DataFrame:
+    """``text_key, text_bytes, more, best``: each text's labels that fit a block best (by containment, then by the number of words), and the highest containment."""
+    block = ["text_key", "text_bytes", "block_reach", "block"]
+    fit = F.struct("containment", "total")
+    top = matches.groupBy(*block).agg(F.collect_set(F.struct(fit.alias("fit"), "label")).alias("found"), F.max(fit).alias("top"), F.max("containment").alias("best"))
+    labels = F.transform(F.filter("found", lambda x: x["fit"] == F.col("top")), lambda x: x["label"])
+    top = top.select("text_key", "text_bytes", F.explode(labels).alias("label"), "best")
+    return top.groupBy("text_key", "text_bytes").agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
 
 
 def _places(parts: list[str]) -> Column:
@@ -107,7 +144,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
     Words are letters, digits and all beyond ASCII, A-Z in lower case; a null text is empty. Base counts the places where a
     phrase's words stand one after the other. The score is 1 with a base phrase, else the best template's share of present words,
-    else 0. Rows that repeat, or have no id, get a row each. Other columns are ignored.
+    else 0. Rows that repeat, or have no id, get a row each. Very long texts are cut into blocks as a whole. Other columns are ignored; an empty
+    table gives no rows.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), _words(_lower(F.col("text"))).alias("words"))
     starts = [_places(phrase.split()) for phrase in PHRASES]
@@ -115,7 +153,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     places = F.flatten("starts")
     base = F.filter(F.array(*(F.when(F.size(F.col("starts")[k]) > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())
     rows = rows.select("doc_id", "text_key", "text_bytes", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_sort(base).alias("base"))
-    matches = saved(template_matches(docs, templates, threshold).groupBy("text_key", "text_bytes").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))
+    matches = saved(_best_labels(template_matches(docs, templates, threshold)))
     matches = matches.withColumnsRenamed({"text_key": "k", "text_bytes": "b"})
     found = rows.join(matches, F.col("text_key").eqNullSafe(F.col("k")) & F.col("text_bytes").eqNullSafe(F.col("b")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
@@ -124,9 +162,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
 
 def _sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same by brute force: every line against every template."""
+    """The same by brute force: every block against every template."""
     templates = TEMPLATES if templates is None else templates
-    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(notice.split())))}])" for label, notice in templates)
+    listed = lambda words: f"CAST([{', '.join(repr(w) for w in words)}] AS VARCHAR[])"
+    values = ", ".join(f"('{label}', {listed(sorted(set(notice.split())))}, {listed(_needed(label, notice))}, {_reach(notice)})" for label, notice in templates)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     places = ", ".join(
@@ -136,14 +175,20 @@ def _sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRE
     labels = ", ".join(f"CASE WHEN len(s{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values()))
     every = " || ".join(f"s{n}" for n in range(len(PHRASES)))
     return rf"""
-WITH t(label, words) AS (VALUES {values}),
+WITH t(label, words, needed, reach) AS (VALUES {values}),
 lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{alphabet}', '{alphabet.lower()}') AS x FROM documents),
 base AS (SELECT r, doc_id, w, {places} FROM (SELECT r, doc_id, regexp_extract_all(x, '{word}') AS w FROM lowered)),
-lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{word}')) AS w FROM lowered),
-matched AS (
-  SELECT r, label, CAST(len(list_intersect(lines.w, t.words)) AS DOUBLE) / len(t.words) AS share FROM lines, t
-  WHERE len(list_intersect(lines.w, t.words)) >= ceil({threshold} * len(t.words) - 1e-9)
+standing AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM base),
+blocks AS (
+  SELECT r, reach, k, list(DISTINCT word) AS own
+  FROM (SELECT r, n, reach, word, unnest([i // reach - 1, i // reach]) AS k FROM standing JOIN (SELECT DISTINCT reach, unnest(words) AS word FROM t) USING (word))
+  WHERE k BETWEEN 0 AND greatest(0, CAST(ceil(n / reach) AS BIGINT) - 2) GROUP BY r, reach, k
+),
+shared AS (
+  SELECT r, t.reach, k, label, len(t.words) AS total, CAST(len(list_intersect(own, t.words)) AS DOUBLE) / len(t.words) AS share FROM blocks JOIN t ON t.reach = blocks.reach
+  WHERE len(list_intersect(own, t.words)) >= ceil({threshold} * len(t.words) - 1e-9) AND list_has_all(own, t.needed)
 ),
+matched AS (SELECT * FROM shared QUALIFY rank() OVER (PARTITION BY r, reach, k ORDER BY share DESC, total DESC) = 1),
 more AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS best FROM matched GROUP BY r),
 flat AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, {every} AS s, list_filter([{labels}], lambda l: l IS NOT NULL) AS b FROM base)
 SELECT doc_id, n_words, CAST(len(s) AS BIGINT) AS n_base, CAST(list_min(s) AS BIGINT) AS first_word, CAST(list_max(s) AS BIGINT) AS last_word,

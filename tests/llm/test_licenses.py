@@ -38,3 +38,27 @@ def test_examples(spark):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def wrapped(notice: str, width: int = 72) -> str:
+    lines, line = [], ""
+    for word in notice.split():
+        if len(line) + len(word) >= width:
+            lines, line = [*lines, line], ""
+        line += word + " "
+    return "\n".join([*lines, line])
+
+
+def test_wrapped_notices_get_their_label_alone(spark):
+    """Each template amid a long text, in lines of usual width, gets its own label and no neighbour's."""
+    texts = [prose(n, 37 + n) + "\n" + wrapped(notice, 40) + "\n" + prose(50 + n, 60) for n, (_, notice) in enumerate(licenses.TEMPLATES)]
+    rows = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(documents(spark, texts)).collect()}
+    for n, (label, notice) in enumerate(licenses.TEMPLATES):
+        own = [x for phrase, x in licenses.PHRASES.items() if f" {phrase} " in f" {notice} "]
+        assert rows[n] == sorted([label, *own]), (notice, rows[n])
+
+
+def test_neighbours_are_told_apart(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU Affero General Public License, version 3", "licensed under the GNU General Public License version 2.1", "This work is licensed under a Creative Commons Attribution 4.0 International License"]
+    rows = {r["doc_id"]: r["labels"] for r in licenses.scan(documents(spark, texts)).collect()}
+    assert rows[0] == "gpl,gpl-3.0" and rows[1] == "agpl-3.0,gpl" and "agpl" not in rows[2] and "lgpl" not in rows[2] and rows[3] == "cc-by-4.0"
