@@ -58,7 +58,7 @@ def test_sql(spark, name):
 
 def test_registered():
     names = [n for n in entry_points.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def test_the_mix_holds_the_texts(spark):
