@@ -68,3 +68,17 @@ def test_the_mix_holds_the_texts(spark):
     wanted = {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert rows and {(r["doc_id"], r["text"]) for r in rows} <= wanted and len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
     assert all(r["size"] == len(r["text"].split()) and r["taken"] == r["size"] * r["copies"] > 0 for r in rows)
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", (None, "a b c"), (None, "a b c"), (7, "one text of some words"), (7, "one text of some words"), (7, "another text under one id"), "x " * 30_000]])
+def test_empty_and_odd_documents(spark, tmp_path, texts):
+    """Every stage runs, keeps the columns, and yields no row that was not there; rows that repeat leave one."""
+    docs = documents(spark, texts)
+    columns, before = docs.columns, {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / str(number))
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert number == 4 or docs.columns == columns
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert set(rows) <= before and len(rows) == len(set(rows))
