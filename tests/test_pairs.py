@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import pytest
 from rows import ids
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from loanweave import schema
 from loanweave.functions.logic import within_or_unknown
 from loanweave.operators import pair_filters as pf
-from loanweave.operators import rivals, uniqueness
+from loanweave.operators import candidates, rivals, uniqueness
+from loanweave.operators.candidates import Blocking
 from registry import oracle
 
 BASE = "HMDAIndex_s string, HMDAIndex_p string"
@@ -215,3 +217,60 @@ def test_a_sale_with_very_many_rivals(spark):
     assert counted.select("pairs_s").distinct().collect()[0][0] == n
     spread = [r["count"] for r in df.filter("HMDAIndex_s = 'hot'").groupBy(F.pmod(F.xxhash64("HMDAIndex_p"), F.lit(rivals.PARTS))).count().collect()]
     assert len(spread) == rivals.PARTS and max(spread) < 2 * n / rivals.PARTS
+
+
+def formed(spark, loans):
+    """Pairs that are formed by a join of files and not written."""
+    blocking = Blocking(("block",))
+    return candidates.block_join(*candidates.split_sides(loans), blocking)
+
+
+def loans_of_blocks(spark, tmp_path):
+    rows = [(f"S{b}-{i}", 1.0, f"b{b}", 4.0 + 0.01 * i, "wide") for b in range(20) for i in range(4)]
+    rows += [(f"P{b}-{i}", 6.0, f"b{b}", 4.0 + 0.01 * i * (b % 3), "wide") for b in range(20) for i in range(3)]
+    rows += [(None, 1.0, "b1", 4.0, "wide"), ("S2-0", 1.0, "b2", 4.01, "twice"), ("S3-0", 1.0, "b3", None, "wide")]
+    path = str(tmp_path / "loans")
+    spark.createDataFrame(rows, "HMDAIndex string, action_taken double, block string, interest_rate double, wide string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def joins_above(plan: str, kind: str, pairs_key: str = "block"):
+    """Depths of the joins of a kind and of those that form pairs, in the optimized plan."""
+    lines = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    return [depth(x) for x in lines if f"Join {kind}" in x], [depth(x) for x in lines if "Join Inner" in x and f"{pairs_key}#" in x]
+
+
+def test_contests_on_pairs_that_are_not_written_move_no_pairs(spark, tmp_path):
+    """The test whether a rival won is made on the loans, below the join that forms the pairs, and nothing is multiplied for it."""
+    loans = loans_of_blocks(spark, tmp_path)
+    gap = F.abs(pf.difference("interest_rate"))
+    for contest in (lambda d: pf.rate_dominance(d), lambda d: pf.closest(d, gap, 0.01), lambda d: pf.drop_sales_where(d, gap > 0.015)):
+        found = contest(formed(spark, loans))
+        plan = found._jdf.queryExecution().toString()
+        optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert "Generate" not in optimized and "explode" not in optimized
+        anti, forming = joins_above(plan, "LeftAnti")
+        assert anti and min(forming) < min(anti)
+        written = str(tmp_path / uuid.uuid4().hex)
+        formed(spark, loans).write.parquet(written)
+        assert ids(found) == ids(contest(spark.read.parquet(written)))
+
+
+def test_uniqueness_on_pairs_that_are_not_written_moves_no_pairs(spark, tmp_path):
+    pairs = formed(spark, loans_of_blocks(spark, tmp_path)).filter(F.abs(pf.difference("interest_rate")) < 0.005)
+    found = uniqueness.keep_uniques(pairs)
+    semi, forming = joins_above(found._jdf.queryExecution().toString(), "LeftSemi")
+    assert semi and min(forming) < min(semi)
+    rows = ids(pairs)
+    alone = [r for r in rows if None not in r and sum(r[0] == x[0] for x in rows) == 1 and sum(r[1] == x[1] for x in rows) == 1]
+    assert ids(found) == alone and alone
+
+
+def test_small_files_of_many_records_are_not_broadcast_unmeasured(spark, tmp_path):
+    """Compressed files say little about the size in memory; lists measured at run time may be broadcast."""
+    path = str(tmp_path / "written")
+    spark.range(1_500_000).selectExpr("id", "repeat('x', 200) AS text").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    plan = table.join(table.withColumnRenamed("text", "other"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
