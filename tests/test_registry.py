@@ -61,3 +61,10 @@ def test_rules_bite(spark, all_pairs, rules):
     assert all(0 < n < total for n in kept.values()), (total, kept)
     for loose, strict in (("match_race", "match_race_strict"), ("match_ethnicity", "match_ethnicity_strict"), ("purpose_compat_either", "purpose_compat_both")):
         assert loose not in kept or kept[strict] < kept[loose], kept
+
+
+@pytest.mark.parametrize("name", ["match_sex", "fee_filter_strict", "different_lenders", "numeric_matches"])
+def test_pairs_are_not_written(spark, tmp_path, name):
+    """A query on candidate pairs forms them from the columns it reads."""
+    plan = entry_points.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "debt_to_income_ratio" not in plan
