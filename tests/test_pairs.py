@@ -274,3 +274,13 @@ def test_small_files_of_many_records_are_not_broadcast_unmeasured(spark, tmp_pat
     table = spark.read.parquet(path)
     plan = table.join(table.withColumnRenamed("text", "other"), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_lists_of_a_contest_are_not_broadcast_though_measured(spark):
+    """Some megabytes of ids, four lists at once, would fill the driver."""
+    name = F.concat(F.lit("loan of a contest "), F.col("id").cast("string"))
+    pairs = spark.range(150_000).select(name.alias("HMDAIndex_s"), name.alias("HMDAIndex_p"), (F.col("id") % 2).alias("gap"))
+    found = rivals.contest(pairs, F.col("gap") < 0, F.col("gap") == 0)
+    assert len(found.collect()) == 75_000
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final and "Broadcast" not in final
