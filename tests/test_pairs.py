@@ -284,3 +284,17 @@ def test_lists_of_a_contest_are_not_broadcast_though_measured(spark):
     assert len(found.collect()) == 75_000
     final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "isFinalPlan=true" in final and "Broadcast" not in final
+
+
+def test_cardinality_of_pairs_that_are_not_written_moves_no_pairs(spark, tmp_path):
+    def form(sellers, purchasers):
+        pairs = candidates.block_join(sellers, purchasers, Blocking(("block",)))
+        return pairs.filter(F.abs(pf.difference("interest_rate")) < 0.015)
+
+    loans = loans_of_blocks(spark, tmp_path)
+    sides = candidates.split_sides(loans.unionByName(loans.limit(1).withColumns({"HMDAIndex": F.lit(None).cast("string"), "action_taken": F.lit(6.0)})))
+    found = uniqueness.match_cardinality(form(*sides), formed=(*sides, form))
+    assert sorted(found.collect()) == sorted(uniqueness.match_cardinality(form(*sides)).collect())
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    depths = [len(x) - len(x.lstrip(" :+-")) for x in joins]
+    assert "block#" in joins[0] and depths.count(min(depths)) == 1
