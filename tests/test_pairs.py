@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loanweave import schema
+from loanweave.functions import people
 from loanweave.functions.logic import within_or_unknown
 from loanweave.operators import pair_filters as pf
 from loanweave.operators import candidates, rivals, uniqueness
@@ -298,3 +299,20 @@ def test_cardinality_of_pairs_that_are_not_written_moves_no_pairs(spark, tmp_pat
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     depths = [len(x) - len(x.lstrip(" :+-")) for x in joins]
     assert "block#" in joins[0] and depths.count(min(depths)) == 1
+
+
+@pytest.mark.parametrize("traits, test", [
+    (people.TRAITS, pf.match_race), (people.TRAITS, pf.match_ethnicity), (people.TRAITS, pf.match_sex),
+    (people.TRAITS_PRE2018, pf.match_race_pre2018), (people.TRAITS_PRE2018, pf.match_ethnicity_pre2018), (people.TRAITS_PRE2018, pf.match_sex_pre2018),
+])
+def test_traits_that_loans_carry_are_not_read_per_pair(spark, tmp_path, traits, test):
+    columns = list(dict.fromkeys(c for reports in traits.values() for report in reports for c in report.columns))
+    codes = [F.lit(None), *(F.lit(float(c)) for c in (1, 2, 3, 4, 5, 6, 7, 8, 11, 14, 21, 27, 44))]
+    ids_and_side = [F.concat(F.lit("L"), "id").alias("HMDAIndex"), (F.col("id") % 2 * 5 + 1).cast("double").alias("action_taken"), (F.col("id") % 3).alias("block")]
+    slots = [F.get(F.array(*codes), F.pmod(F.xxhash64("id", F.lit(c)), F.lit(len(codes))).cast("int")).cast("double").alias(c) for c in columns]
+    spark.range(120).select(*ids_and_side, *slots).write.parquet(str(tmp_path / "loans"))
+    loans = spark.read.parquet(str(tmp_path / "loans"))
+    carried = test(formed(spark, loans.withColumns(people.trait_bits(traits)))).select("HMDAIndex_s", "HMDAIndex_p")
+    assert ids(carried) == ids(test(formed(spark, loans))) and not carried.isEmpty()
+    (join,) = [x for x in carried._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert not any(f"{c}_s#" in join for c in columns)
