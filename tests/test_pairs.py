@@ -316,3 +316,14 @@ def test_traits_that_loans_carry_are_not_read_per_pair(spark, tmp_path, traits,
     assert ids(carried) == ids(test(formed(spark, loans))) and not carried.isEmpty()
     (join,) = [x for x in carried._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert not any(f"{c}_s#" in join for c in columns)
+
+
+def test_attrition_tests_a_pair_once_per_tolerance(table):
+    tolerances = {c: 1.0 for c in ("a", "b", "c", "d")}
+    schema_of = BASE + "".join(f", {c}_{side} double" for c in tolerances for side in ("s", "p"))
+    values = [(0, 0, 0, 0), (2, 2, 0, 0), (0, 2, 0, 2), (None, 2, 2, 2), (0, 0, 0, 9)]
+    rows = [pair(str(n), str(n), **{f"{c}_s": v for c, v in zip(tolerances, found)}, **{f"{c}_p": 0 for c in tolerances}) for n, found in enumerate(values)]
+    rows = [{k: float(v) if isinstance(v, int) else v for k, v in row.items()} for row in rows]
+    attrition = uniqueness.filter_attrition(table(rows, schema_of), tolerances)
+    assert {r["column"]: r["dropped"] for r in attrition.collect()} == {"a": 1, "b": 2, "c": 0, "d": 1}
+    assert attrition._jdf.queryExecution().optimizedPlan().toString().count("abs(") == len(tolerances)
