@@ -6,7 +6,7 @@ import pytest
 from rows import ids
 from pyspark.sql import functions as F
 
-from loanweave import schema
+from loanweave import schema, session
 from loanweave.operators import candidates, uniqueness
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking, LoanLayout
@@ -204,3 +204,23 @@ def test_pre2018_crowded(spark):
     crosswalk = pre2018.crosswalk_round1(loans)
     second = pre2018.link_round2(loans, crosswalk, max_block_pairs=None)
     assert ids(pre2018.link_round2(loans, crosswalk, max_block_pairs=3)) == ids(second)
+
+
+@pytest.mark.parametrize("number", [1, 3])
+def test_rounds_evaluate_pairs_in_small_methods(spark, monkeypatch, number):
+    """What a round forms and writes runs as methods that are compiled well; the session's own limit is restored."""
+    loans = random_loans(spark, 40 + number)
+    crosswalk = spark.createDataFrame([], "HMDAIndex_s string, HMDAIndex_p string")
+    own, limits = spark.conf.get(session.METHOD_LIMIT), []
+
+    def written(df):
+        limits.append(int(spark.conf.get(session.METHOD_LIMIT)))
+        return session.cut_lineage(df)
+
+    monkeypatch.setattr(post2018, "cut_lineage", written)
+    post2018.link(number, loans, crosswalk)
+    assert limits and max(limits) <= 2000
+    assert spark.conf.get(session.METHOD_LIMIT) == own
+    with pytest.raises(RuntimeError), session.small_methods(spark):
+        raise RuntimeError
+    assert spark.conf.get(session.METHOD_LIMIT) == own
