@@ -150,6 +150,18 @@ def test_crowded_blocks_give_the_same_pairs_and_links(spark, table, number):
         assert result(given, 3) == plain
 
 
+def test_low_limit_of_blocks_moves_no_loan_more_often(spark, monkeypatch):
+    """Pieces follow their own limit, so that many copies in a block called crowded are not moved once for every few pairs."""
+    rows = [(f"{side}{n}", action, "b", 4.0) for side, action in (("S", 1.0), ("P", 6.0)) for n in range(30)]
+    loans = spark.createDataFrame(rows, "HMDAIndex string, action_taken double, block string, interest_rate double")
+    sides, moved, joined = candidates.split_sides(loans), [], candidates._join
+    monkeypatch.setattr(candidates, "_join", lambda s, p, keys: moved.append(s.count() + p.count()) or joined(s, p, keys))
+    for pieces, most in (({}, 60), ({"max_piece_pairs": 20}, 60 * 7)):
+        blocking = Blocking(("block",), bands={"interest_rate": 0.0625}, max_block_pairs=20, **pieces)
+        assert len(ids(candidates.crowded_join(*sides, blocking))) == 900
+        assert moved.pop() == most
+
+
 def test_loans_that_cannot_meet_are_spread(spark):
     """Loans without a block and of one-sided blocks fill no bucket; the rounds on other keys still see them."""
     rows = [(f"S{n}", 1.0, "sales only" if n < 300 else None if n < 600 else f"b{n % 40}") for n in range(1000)]
