@@ -5,8 +5,9 @@ from rows import ids
 from pyspark.sql import functions as F
 
 from loanweave.operators import cleaning
-from loanweave.plans import post2018
+from loanweave.plans import post2018, relations
 from loanweave.plans.runs import Post2018Run, Pre2018Run
+from loanweave.session import cut_lineage
 from loanweave.sources import deliveries
 from loanweave.sources.results import ResultFolder, append_crosswalk
 
@@ -166,3 +167,13 @@ def test_rounds_do_not_move_bucketed_loans(spark, derived, capsys):
     plan = capsys.readouterr().out
     assert "hashpartitioning(HMDAIndex_s" in plan and "hashpartitioning(block" not in plan
     assert "people_needs" in plan and plan.count("Exchange") == 4
+
+
+def test_hand_over_tables_are_column_files(spark):
+    """Rows are written once, packed by column, and not as a checkpoint that runs what leads to them twice."""
+    found = cut_lineage(spark.range(3).withColumn("text", F.lit("x")))
+    assert found.count() == 3 and all(path.endswith(".parquet") for path in found.inputFiles()) and found.inputFiles()
+
+
+def test_relationships_read_few_columns(derived):
+    assert {c.rsplit("_", 1)[0] for c in derived.linked_lenders().columns} <= {*relations.RELATION_COLUMNS, "action_taken", "match"}
