@@ -7,7 +7,7 @@ from rows import ids
 from pyspark.sql import functions as F
 
 from loanweave import schema, session
-from loanweave.operators import candidates, uniqueness
+from loanweave.operators import candidates, rivals, uniqueness
 from loanweave.operators import pair_filters as pf
 from loanweave.operators.candidates import Blocking, LoanLayout
 from loanweave.plans import post2018, pre2018
@@ -236,3 +236,50 @@ def test_rounds_evaluate_pairs_in_small_methods(spark, monkeypatch, number):
     with pytest.raises(RuntimeError), session.small_methods(spark):
         raise RuntimeError
     assert spark.conf.get(session.METHOD_LIMIT) == own
+
+
+@pytest.mark.parametrize("number", [1, 3])
+def test_rounds_write_no_pairs_of_hopeless_records(spark, monkeypatch, number):
+    """Copies on both sides form many pairs; what a round writes grows with the loans."""
+    template = random_loans(spark, 5, 1).first().asDict() | {
+        "block": "b5000.0", "loan_purpose": 1.0, "i_Purchase": 1, "income": 50.0, "interest_rate": 4.0, "activity_year": 2018,
+        "people_needs": 0, "people_offers": 3, "purchaser_type": 6.0,
+    }
+    names = list(template)
+    rows = [template | {"HMDAIndex": f"{side}{n}", "action_taken": action} for side, action in (("S", 1.0), ("P", 6.0)) for n in range(40)]
+    rows += [template | {"HMDAIndex": f"{side}only", "action_taken": action, "block": "other"} for side, action in (("S", 1.0), ("P", 6.0))]
+    loans = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], random_loans(spark, 5, 1).schema)
+    counts = []
+
+    def written(df):
+        found = session.cut_lineage(df)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(post2018, "cut_lineage", written)
+    crosswalk = spark.createDataFrame([], "HMDAIndex_s string, HMDAIndex_p string")
+    assert ids(post2018.link(number, loans, crosswalk)) == [("Sonly", "Ponly")]
+    assert max(counts) <= len(rows)
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_marked_pairs_settle_like_written_pairs(spark, most):
+    """Contest and uniqueness by marks on the records, against the same on the pairs, also for records without an id."""
+    chance = random.Random(most)
+    name = lambda side: chance.choice([None, *[f"{side}{n}" for n in range(25)]])
+    rows = [("b", name("s"), name("p"), chance.choice([None, 0.0, 0.005, 0.02, 0.05]), chance.random() < 0.5) for _ in range(45)]
+    pairs = spark.createDataFrame(rows, "block string, HMDAIndex_s string, HMDAIndex_p string, gap double, secondary boolean").cache()
+    stands, wins = pf.closest_rule(F.col("gap"), 0.01)
+    secondary = None if most == 1 else F.col("secondary")
+    left = rivals.contest(pairs, stands, wins)
+    wanted = uniqueness.unique_pairs(left, most == 1, secondary)
+    marks = session.cut_lineage(rivals.marks_of([pairs], "block", (stands, wins), F.lit(True), 0))
+    flagged = pairs
+    for side in ("s", "p"):
+        own = marks.filter(F.col("side") == side).select(F.col("record").alias("r"), F.col("won_0").alias(f"won_{side}"), F.col("standing").alias(f"standing_{side}"))
+        flagged = flagged.join(own, F.col(f"HMDAIndex_{side}").eqNullSafe(F.col("r"))).drop("r")
+    few_s, few_p = F.col("standing_s") <= most, F.col("standing_p") <= 1
+    kept = (stands & few_s & few_p) | (~stands & ~F.col("won_s") & ~F.col("won_p") & (few_s | few_p))
+    rows = flagged.filter(kept).select("HMDAIndex_s", "HMDAIndex_p", "secondary", "standing_s", "standing_p", (~stands).alias("weak"))
+    assert wanted.count() > 0
+    assert ids(rivals.up_to_marked(most, rows, secondary)) == ids(wanted)
